@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import body, residue, site_lines, spans, survivors, tokens
+from lodestack.llm import body, mixing, names, residue, site_lines, spans, survivors, tokens
 from lodestack.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +21,10 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    people = lambda s, d: (table(s, d, "extracted_people"), table(s, d, "sheet_rows"))
     return {
+        "p1_found": lambda s, d: names.linked_pairs(*people(s, d)),
+        "p1_groups": lambda s, d: names.linked_groups(*people(s, d)),
         "p2_found": lambda s, d: body.furniture_lines(_pages(s, d)),
         "p2_bodies": lambda s, d: body.page_bodies(_pages(s, d)),
         "p3_found": lambda s, d: site_lines.repeated_lines(_pages(s, d)),
@@ -32,6 +35,8 @@ def queries() -> dict[str, Query]:
         "p5_found": lambda s, d: survivors.surviving_ids(table(s, d, "person_records")),
         "p5_fused": lambda s, d: survivors.fused(table(s, d, "person_records"), _pages(s, d)),
         "p6_ids": lambda s, d: tokens.encode_corpus(_docs(s, d)),
+        "p7_mix": lambda s, d: mixing.mixture(_docs(s, d), table(s, d, "source_weights")),
+        "p7_shares": lambda s, d: mixing.shares(_docs(s, d), table(s, d, "source_weights")),
         "p8_found": lambda s, d: spans.shared_pairs(_docs(s, d)),
         "p8_shared": lambda s, d: spans.shared_report(_docs(s, d)),
         "p8_clean": lambda s, d: spans.shared_clean(_docs(s, d)),
