@@ -5,6 +5,8 @@ Null input gives null for parts and "" for `domain_of`; malformed URLs give empt
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,21 +52,34 @@ def domain_of(url: Column) -> Column:
     return F.coalesce(F.regexp_replace(host_of(url), r"^www\.", ""), F.lit(""))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """Evaluates `value` once for all its uses in `then` (which must not hold a Python UDF)."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def dedup_key(url: Column) -> Column:
     """Canonical spelling: lower scheme and host, no default port, no trailing slashes, no fragment."""
-    port = F.regexp_extract(authority_of(url), r":(\d+)$", 1)
-    kept = F.when((port == "") | port.isin("80", "443"), F.lit("")).otherwise(F.concat(F.lit(":"), port))
-    path = F.regexp_replace(path_of(url), r"/+$", "")
-    query = query_of(url)
-    return F.concat(
-        scheme_of(url),
-        F.lit("://"),
-        host_of(url),
-        kept,
-        F.when(path == "", F.lit("/")).otherwise(path),
-        F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)),
+    found = F.struct(
+        scheme_of(url).alias("scheme"),
+        host_of(url).alias("host"),
+        F.regexp_extract(authority_of(url), r":(\d+)$", 1).alias("port"),
+        F.regexp_replace(path_of(url), r"/+$", "").alias("path"),
+        query_of(url).alias("query"),
     )
 
+    def written(p: Column) -> Column:
+        bare = (p["scheme"] == "") & (p["host"] == "")
+        return F.concat(
+            F.when(p["scheme"] == "", F.lit("")).otherwise(F.concat(p["scheme"], F.lit(":"))),
+            F.when(bare, F.lit("")).otherwise(F.lit("//")),
+            p["host"],
+            F.when((p["port"] == "") | p["port"].isin("80", "443"), F.lit("")).otherwise(F.concat(F.lit(":"), p["port"])),
+            F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]),
+            F.when(p["query"] == "", F.lit("")).otherwise(F.concat(F.lit("?"), p["query"])),
+        )
+
+    return let(found, written)
+
 
 def normalize_url(url: Column) -> Column:
     return dedup_key(F.trim(url))

@@ -1,15 +1,18 @@
-"""All registered queries of the core library."""
+"""All registered queries of the core library and the SQL they are held against."""
 
 from __future__ import annotations
 
+from lodestack.plans import page_queries, table_queries
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Every logged question against the whole knowledge base: chunks, vectors, exact search, pages."""
+    return table_queries.kb_search(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {**page_queries.queries(), **table_queries.queries()}
 
 
 def oracle_sql():
-    return {}
+    return {**page_queries.oracle_sql(), **table_queries.oracle_sql()}
