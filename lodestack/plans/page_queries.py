@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from http import HTTPStatus
+
 from pyspark.sql import functions as F
 
 from lodestack.functions import guard, html, links, people, quality, text, urls
@@ -137,6 +139,10 @@ def oracle_sql():
              SELECT *, total || ' row(s): ' || valid || ' valid' || CASE WHEN duplicate > 0 THEN ', ' || duplicate || ' duplicate' ELSE '' END || CASE WHEN invalid > 0 THEN ', ' || invalid || ' invalid' ELSE '' END
                || CASE WHEN blank > 0 THEN ', ' || blank || ' empty' ELSE '' END || CASE WHEN rejected > 0 THEN ', ' || rejected || ' refused' ELSE '' END AS summary FROM n5""",
         "upload_reasons": _CLASSIFIED + " SELECT batch_id, reason, count(*) AS n_rows FROM b WHERE reason <> '' GROUP BY 1, 2",
+        "url_guard": f"""WITH u AS (SELECT row_id, trim(coalesce(url, '')) AS u, {q.host("trim(coalesce(url, ''))")} AS h, lower(regexp_extract(trim(coalesce(url, '')), '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS s FROM sheet_rows)
+            SELECT row_id, CASE WHEN u = '' THEN 'empty URL' WHEN s NOT IN ('http', 'https') THEN 'unsupported scheme ' || chr(39) || CASE WHEN s = '' THEN 'none' ELSE s END || chr(39) || ' - only http and https'
+            WHEN h = '' THEN 'no host in URL' ELSE '' END AS reason FROM u""",
+        "status_labels": "WITH l(k, label, badge) AS (VALUES " + ", ".join(f"('{k}', '{v}', 'badge {st.BADGES[k]}')" for k, v in st.LABELS.items()) + "), p(c, phrase) AS (VALUES " + ", ".join("({}, '{}')".format(int(x), x.phrase.replace("'", "''")) for x in HTTPStatus) + ") SELECT DISTINCT crawl_status, http_status, coalesce(label, crawl_status, '') AS label, coalesce(badge, 'badge badge-muted') AS badge, coalesce(phrase, '') AS phrase FROM harvested_urls LEFT JOIN l ON k = upper(crawl_status) LEFT JOIN p ON c = http_status",
         "link_score": _LINKS,
         "document_kind": "SELECT id, CASE lower(trim(split_part(coalesce(content_type, ''), ';', 1))) WHEN 'application/pdf' THEN 'pdf' WHEN 'text/plain' THEN 'text' ELSE CASE WHEN regexp_matches(lower(url), '\\.pdf([?#]|$)') THEN 'pdf' ELSE '' END END AS kind FROM harvested_urls",
         "unseen_parents": f"SELECT DISTINCT {q.dedup_key('parent_url')} AS key FROM harvested_urls WHERE parent_url <> '' AND {q.dedup_key('parent_url')} NOT IN (SELECT normalized_url FROM harvested_urls WHERE normalized_url IS NOT NULL)",

@@ -97,7 +97,7 @@ def queries():
         "merge_records": lambda s, d: records.merge_records(_model(s, d), _pattern(s, d)).select("url_id", "rank", "name", "title", "company", "bio", "confidence"),
         "person_pages": lambda s, d: records.link_chunks(people(s, d).select("id", "url_id", "name"), pages(s, d).filter("text_content <> ''").select(F.col("id").alias("url_id"), F.col("id").alias("chunk_id"), F.col("text_content").alias("text"))).select("id", F.size("source_chunk_ids").alias("n_chunks")),
         "infer_company": lambda s, d: pages(s, d).select("id", pf.infer_company(F.lit(""), F.col("normalized_url")).alias("company")),
-        "confidence_clamp": lambda s, d: people(s, d).select("id", text.clamp_unit(F.get_json_object("raw_json", "$.confidence")).alias("confidence")),
+        "confidence_clamp": lambda s, d: people(s, d).select("id", text.clamp_unit(F.get_json_object("raw_json", "$.pass")).alias("confidence")),
         "citations": lambda s, d: _t("documents")(s, d).select("doc_id", F.array_join(text.citations(F.col("text")).cast("array<string>"), ",").alias("cited")).filter("cited <> ''"),
     }
 
@@ -161,5 +161,6 @@ def oracle_sql():
             SELECT url_id, CAST(row_number() OVER (PARTITION BY url_id ORDER BY only_p, ord, k) AS INTEGER) AS rank, name, title, company, bio, confidence FROM j""",
         "person_pages": "SELECT p.id, CAST(count(h.id) AS INTEGER) AS n_chunks FROM person_records p LEFT JOIN harvested_urls h ON p.url_id = h.id AND h.text_content <> '' AND p.name <> '' AND contains(lower(h.text_content), lower(p.name)) GROUP BY p.id",
         "infer_company": f"SELECT id, CASE WHEN d = '' THEN '' ELSE upper(substring(split_part(d, '.', 1), 1, 1)) || lower(substring(split_part(d, '.', 1), 2)) END AS company FROM (SELECT id, {domain('normalized_url')} AS d FROM harvested_urls)",
+        "confidence_clamp": "SELECT id, CASE WHEN c IS NOT NULL THEN greatest(0.0, least(1.0, c)) END AS confidence FROM (SELECT id, try_cast(regexp_extract(coalesce(raw_json, ''), '\"pass\": *([-0-9.eE]+)', 1) AS DOUBLE) AS c FROM person_records)",
         "citations": "SELECT doc_id, array_to_string(regexp_extract_all(coalesce(text, ''), '[\\[【]([0-9]+)[^\\]】]*[\\]】]', 1), ',') AS cited FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), '[\\[【]([0-9]+)[^\\]】]*[\\]】]', 1)) > 0",
     }

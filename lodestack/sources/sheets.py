@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestack.functions.text import strip
+from lodestack.settings import DEFAULTS
 
 EXCEL = (".xlsx", ".xlsm")
 TEXTS = (".csv", ".txt", ".tsv")
@@ -79,12 +80,25 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> Da
     sep = delimiter or sniff_delimiter(head, suffix)
     first = next(csv.reader(io.StringIO(head, newline=""), delimiter=sep), [])
     names = unique_headers(first)
-    charset = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[encoding]
     schema = StructType([StructField(n, StringType()) for n in names])
+    if encoding == "cp1252":  # the CSV reader has no such charset
+        return _tidy(_read_small(spark, path, sep, schema))
+    charset = "ISO-8859-1" if encoding == "latin-1" else "UTF-8"
     df = spark.read.csv(path, schema=schema, sep=sep, header=True, multiLine=True, quote='"', escape='"', encoding=charset, mode="PERMISSIVE", enforceSchema=True)
     return _tidy(df)
 
 
+def _read_small(spark: SparkSession, path: str, sep: str, schema: StructType) -> DataFrame:
+    """A sheet decoded by the driver; bound: uploads are refused beyond max_upload_bytes."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    if size > DEFAULTS.max_upload_bytes:
+        raise SheetError(f"A sheet of {size} bytes must be UTF-8 or Latin-1.")
+    text, _ = decode(bytes(spark.read.format("binaryFile").load(path).first().content))
+    n = len(schema)
+    rows = [tuple((r + [""] * n)[:n]) for r in list(csv.reader(io.StringIO(text, newline=""), delimiter=sep))[1:]]
+    return spark.createDataFrame(rows, schema)
+
+
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 
 
