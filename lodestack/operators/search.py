@@ -75,11 +75,13 @@ def threshold_or_best(hits: DataFrame, s: Settings = DEFAULTS, top_k: int | None
 def group_by_page(hits: DataFrame, s: Settings = DEFAULTS, top_k: int | None = None, key: str = "page_key") -> DataFrame:
     """query_id, page_key, page_rank, score, chunk_id and the page's best chunks, of the top_k pages of each query.
 
-    hits: query_id, chunk_id, score, page_key (and what is carried in `payload`).
+    hits: query_id, chunk_id, score, page_key (and what is carried in `payload`). Equal scores go to the
+    least url_id, if there is one, then to the least chunk_id.
     """
     top_k = top_k or s.search_top_k
     extra = [F.col("payload")] if "payload" in hits.columns else []
-    entry = F.struct((-F.round("score", 4)).alias("neg"), F.col("chunk_id"), *extra)
+    tie = [F.col("url_id")] if "url_id" in hits.columns else []
+    entry = F.struct((-F.round("score", 4)).alias("neg"), *tie, F.col("chunk_id"), *extra)
     low = [F.max("low_confidence").alias("low_confidence")] if "low_confidence" in hits.columns else []
     # one query's hits are at most overfetch * top_k, so the list is bounded
     pages = hits.groupBy("query_id", key).agg(F.array_sort(F.collect_list(entry)).alias("l"), *low)
