@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +37,23 @@ def build_session(cores: int = 8, app: str = "lodestack", **extra: str) -> Spark
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each context, so that Python operators run on any cluster."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestack_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.suffix != ".zip" and root.is_dir():
+        target = Path(tempfile.mkdtemp(prefix="lodestack-ship-")) / "lodestack_package.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f"{root.name}/{f.relative_to(root)}")
+        sc.addPyFile(str(target))
+    sc._lodestack_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
