@@ -164,6 +164,7 @@ _STOP = re.compile(r"\.\s+(?=[^\W\d_a-z“„«\"])|\.\s+(?=[“„«\"\d])")
 _ITEM = re.compile(r"^\s*(?:[-*•]\s+|\d{1,2}[.)]\s+)")
 _PERSON = re.compile(r"^\W*[^\W\d_][\w’'. -]{2,60}?(?:\s+[—–-]\s+|:\s+|,\s+)[^.]{3,80},\s*[^,.]{2,60}$")
 _FACT = re.compile(r"^\W*[^\W\d_][\w ’'/-]{1,40}:\s+\S.{0,80}$")
+_WAY_BACK = re.compile(r"(?i)^(?:go )?back(?: to (?:the )?(?:start|home|homepage|front page))?\W*$")
 _MARKS = re.compile(r"[\s.!…»|·]+$")
 #: Several menu entries on one line.
 _STRIP = re.compile(r"^\W*\w[\w &'’-]{1,28}(?:\s*[|·•/›»]\s*\w[\w &'’-]{1,28}){2,}\W*$")
@@ -215,8 +216,8 @@ def classify(text: str, html: str | None, title: str | None, residue: re.Pattern
     named = [bool(p) and furniture(b) for p, b in zip(plain, bare)]
     told = bool(residue and residue.search(text))
     message = [told and bool(p and residue.search(p)) for p in plain]
-    for i in range(1, n):  # a bare status code goes on with its way back
-        message[i] = message[i] or (message[i - 1] and plain[i - 1].isdigit() and len(plain[i].split()) <= 4)
+    if any(m and p.isdigit() for m, p in zip(message, plain)):  # a bare status code comes with a way back
+        message = [m or bool(_WAY_BACK.match(p)) for m, p in zip(message, plain)]
     prose = [len(p) >= 45 and bool(_SENTENCE.search(p)) and not f and not _teaser(p) for p, f in zip(plain, named)]
     first = head if head is not None else next((i for i in range(n) if prose[i] or message[i]), n)
     out = []
