@@ -131,8 +131,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row]), pa.array((at - starts[row]).astype(np.int32))], names=["h", "doc_id", "pos"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each repeated run the WINDOW-long windows that hold it, with the flanks that decide the rest."""
+def _windows(batches: Iterator[pa.RecordBatch], all_places: bool) -> Iterator[pa.RecordBatch]:
+    """For each repeated run the WINDOW-long windows that hold it, with the flanks that decide the rest.
+
+    Without all_places a window that a text repeats with the same flanks (as periodic texts do) comes once.
+    """
     roller = Roller()
     offsets = np.arange(0, MIN_SPAN - RUN + 1, STEP, dtype=np.int64)
     flank = STEP - 1
@@ -146,8 +149,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
                 keys = roller.windows(roller.prefix(codes), begin, WINDOW).view(np.int64)
-                b = begin.tolist()
-                out.append((keys.tolist(), [doc] * len(b), b, [text[max(0, i - flank) : i] for i in b], [text[i + WINDOW : i + WINDOW + flank] for i in b]))
+                b, ks = begin.tolist(), keys.tolist()
+                lf, rf = [text[max(0, i - flank) : i] for i in b], [text[i + WINDOW : i + WINDOW + flank] for i in b]
+                if not all_places:
+                    once = {(k, x, y): i for i, k, x, y in zip(b, ks, lf, rf)}
+                    b = list(once.values())
+                    ks, lf, rf = ([t[j] for t in once] for j in range(3))
+                out.append((ks, [doc] * len(b), b, lf, rf))
             if out:
                 cols = [[x for part in out for x in part[i]] for i in range(5)]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())], names=["k", "doc_id", "at", "lf", "rf"])
@@ -164,7 +172,7 @@ def copy_classes(docs: DataFrame) -> DataFrame:
     return keyed.join(first, "m").select("doc_id", "rep").distinct()
 
 
-def repeated_windows(docs: DataFrame, copies: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, copies: DataFrame, all_places: bool) -> DataFrame:
     """Windows around runs that occur in more than one text class: k, doc_id (the class's rep), at, lf, rf."""
     texts = _texts(docs)
     runs = texts.mapInArrow(_runs, "h long, doc_id long, pos int")
@@ -173,7 +181,7 @@ def repeated_windows(docs: DataFrame, copies: DataFrame) -> DataFrame:
     hits = cut(hits)
     hits = hits.join(again(hits), "h")
     places = hits.groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
-    held = texts.join(places, "doc_id").select("doc_id", "text", "pos").mapInArrow(_windows, "k long, doc_id long, at int, lf string, rf string")
+    held = texts.join(places, "doc_id").select("doc_id", "text", "pos").mapInArrow(lambda batches: _windows(batches, all_places), "k long, doc_id long, at int, lf string, rf string")
     return held
 
 
@@ -191,7 +199,7 @@ def _flanks_agree() -> F.Column:
 def shared_pairs(docs: DataFrame) -> DataFrame:
     """doc_id_a < doc_id_b for all documents with a common run of MIN_SPAN characters."""
     copies = cut(copy_classes(docs))
-    w = repeated_windows(docs, copies)
+    w = repeated_windows(docs, copies, False)
     side = lambda s: w.select("k", F.col("doc_id").alias(f"doc_id_{s}"), F.col("lf").alias(f"lf_{s}"), F.col("rf").alias(f"rf_{s}"))
     links = side("a").join(side("b"), "k").filter("doc_id_a < doc_id_b").filter(_flanks_agree()).select("doc_id_a", "doc_id_b").distinct()
     grow = lambda df, s: (
@@ -210,7 +218,7 @@ def shared_intervals(docs: DataFrame) -> DataFrame:
     Linear in the number of repeated windows: no pairs are formed. Spans are exact to STEP - 1 characters.
     """
     copies = cut(copy_classes(docs))
-    w = repeated_windows(docs, copies).select("k", "doc_id", "at")
+    w = repeated_windows(docs, copies, True).select("k", "doc_id", "at")
     again = w.groupBy("k").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("k", "first")
     held = w.join(again, "k").select("doc_id", "at", (F.col("doc_id") > F.col("first")).alias("later"))
     per = held.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at"), F.array_sort(F.collect_set(F.when(F.col("later"), F.col("at")))).alias("later_at"))
