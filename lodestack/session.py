@@ -74,6 +74,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def need(df: DataFrame, *names: str) -> DataFrame:
-    """Keep just the columns an operator works on, so extra columns can never clash."""
-    return df.select(*[df[n] for n in names])
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly before a step whose work is far larger than its bytes, so that AQE does not gather them in few tasks."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n)
