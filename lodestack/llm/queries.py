@@ -43,6 +43,25 @@ def queries() -> dict[str, Query]:
     }
 
 
+def _survivors_sql() -> str:
+    """The survivors' order over the same patterns, which this SQL's engine reads without the Unicode flag."""
+    plain = lambda p: p.replace("(?iu)", "(?i)").replace("(?u)", "").replace("'", "''")
+    quoted = ", ".join("'" + x.replace("'", "''") + "'" for x in survivors.STAND_INS)
+    said = lambda c: f"trim(regexp_replace({c}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
+    gone = lambda c: f"({c} IS NULL OR lower({said(c)}) IN ({quoted}) OR regexp_replace(lower({said(c)}), '[.!:]+$', '') IN ({quoted}))"
+    cut_mark = lambda c: f"regexp_matches({said(c)}, '{plain(survivors.CUT_MARK)}')"
+    title = f"({cut_mark('title')} OR regexp_matches({said('title')}, '{plain(survivors.OPEN_END)}') OR regexp_matches({said('title')}, '{plain(survivors.STUMP)}'))"
+    bio = f"({cut_mark('bio')} OR NOT regexp_matches({said('bio')}, '{plain(survivors.SENTENCE_CLOSE)}') OR regexp_matches({said('bio')}, '{plain(survivors.DOTTED_END)}'))"
+    order = "c DESC NULLS LAST, extracted_at DESC NULLS LAST, id"
+    best = lambda c, broken: f"SELECT person_key, id FROM (SELECT person_key, id, row_number() OVER (PARTITION BY person_key ORDER BY {broken}, {order}) AS rn FROM r WHERE NOT {gone(c)}) WHERE rn = 1"
+    return f"""
+        WITH r AS (SELECT *, CASE WHEN isnan(confidence) THEN NULL ELSE confidence END AS c FROM person_records WHERE person_key IS NOT NULL),
+        n AS (SELECT person_key FROM r GROUP BY person_key HAVING count(*) >= 2), t AS ({best("title", title)}), b AS ({best("bio", bio)}),
+        k AS (SELECT person_key, id FROM (SELECT person_key, id, row_number() OVER (PARTITION BY person_key ORDER BY {order}) AS rn FROM r WHERE c IS NOT NULL) WHERE rn = 1)
+        SELECT n.person_key, coalesce(t.id, 0) AS title_id, coalesce(b.id, 0) AS bio_id, coalesce(k.id, 0) AS confidence_id
+        FROM n LEFT JOIN t ON n.person_key = t.person_key LEFT JOIN b ON n.person_key = b.person_key LEFT JOIN k ON n.person_key = k.person_key"""
+
+
 def oracle_sql() -> dict[str, str]:
     site = "regexp_replace(lower(regexp_extract(normalized_url, '^[^:/?#]+://([^/?#:]*)', 1)), '^www\\.', '')"
     lines = f"""
@@ -51,4 +70,8 @@ def oracle_sql() -> dict[str, str]:
           FROM harvested_urls WHERE text_content <> ''
         ), k AS (SELECT id, site, n, regexp_replace(lower(x[n]), '[^\\p{{L}}]+', '', 'g') AS key FROM l),
         f AS (SELECT site, key FROM k WHERE key <> '' AND site <> '' GROUP BY site, key HAVING count(DISTINCT id) >= {site_lines.MIN_PAGES})"""
-    return {"p3_found": lines + " SELECT k.id AS id, CAST(k.n AS INTEGER) AS line_no FROM k JOIN f ON k.site = f.site AND k.key = f.key"}
+    clean = """
+        , g AS (SELECT k.id, list(k.n) AS gone FROM k JOIN f ON k.site = f.site AND k.key = f.key GROUP BY k.id)
+        SELECT h.id, array_to_string(list_filter(string_split(h.text_content, chr(10)), lambda v, i: NOT list_contains(coalesce(g.gone, []), i)), chr(10)) AS clean_text,
+               CAST(coalesce(len(g.gone), 0) AS INTEGER) AS removed_lines FROM harvested_urls h LEFT JOIN g ON h.id = g.id"""
+    return {"p3_clean": lines + clean, "p5_found": _survivors_sql(), "p3_found": lines + " SELECT k.id AS id, CAST(k.n AS INTEGER) AS line_no FROM k JOIN f ON k.site = f.site AND k.key = f.key"}
