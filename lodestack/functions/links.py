@@ -44,9 +44,6 @@ def link_score(url: Column, anchor: Column) -> Column:
 
 
 def is_crawlable(url: Column, origin: Column, same_domain_only: bool = True) -> Column:
-    path = F.lower(path_of(url))
-    asset = F.lit(False)
-    for suffix in ASSETS:
-        asset = asset | path.endswith(suffix)
+    asset = F.lower(path_of(url)).rlike("(?:" + "|".join(s.replace(".", r"\.") for s in ASSETS) + ")$")
     ok = url.rlike(r"^https?://") & ~asset
     return F.coalesce(ok & same_domain(url, origin) if same_domain_only else ok, F.lit(False))

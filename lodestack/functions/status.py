@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import strip
+from lodestack.functions.urls import let
 from lodestack.settings import DEFAULTS, Settings
 
 #: Status groups (fixed values).
@@ -81,15 +82,18 @@ def is_html(content_type: Column) -> Column:
 
 def block_reason(text: Column, title: Column, html: Column, s: Settings = DEFAULTS) -> Column:
     """Why a page is a challenge: a product's marker in the markup, else a wording on a short page, else ""."""
-    markup = F.lower(F.coalesce(html, F.lit("")))
-    product = F.coalesce(*[F.when(markup.contains(m), F.lit(name)) for m, name in CHALLENGE_MARKERS])
     shown = F.lower(strip(F.regexp_replace(F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))), r"(?U)\s+", " ")))
-    worded = (F.length(shown) <= s.block_page_max_chars) & _any(shown, *CHALLENGE_PHRASES)
-    return (
-        F.when(product.isNotNull(), F.concat(F.lit("blocked by "), product, F.lit(" (a challenge page was served with HTTP 200)")))
-        .when(worded, F.lit("blocked by site bot protection (a challenge page was served with HTTP 200)"))
-        .otherwise(F.lit(""))
-    )
+
+    def judged(p: Column) -> Column:
+        product = F.coalesce(*[F.when(p["markup"].contains(m), F.lit(name)) for m, name in CHALLENGE_MARKERS])
+        worded = (F.length(p["shown"]) <= s.block_page_max_chars) & _any(p["shown"], *CHALLENGE_PHRASES)
+        return F.coalesce(
+            F.concat(F.lit("blocked by "), product, F.lit(" (a challenge page was served with HTTP 200)")),
+            F.when(worded, F.lit("blocked by site bot protection (a challenge page was served with HTTP 200)")),
+            F.lit(""),
+        )
+
+    return let(F.struct(F.lower(F.coalesce(html, F.lit(""))).alias("markup"), shown.alias("shown")), judged)
 
 
 def humanise_failure(reason: Column, code: Column) -> Column:
