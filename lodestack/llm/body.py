@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 1.5
+#: Lines whose judgement a worker remembers, as sites repeat theirs.
+CACHED_LINES = 100_000
 #: Elements whose text is never rendered, and elements that end a line (fixed values).
 SILENT = {"script", "style", "noscript", "template", "svg", "head", "title"}
 INLINE = {"a", "b", "i", "em", "strong", "span", "u", "small", "sup", "sub", "font", "code", "abbr", "cite", "q", "s", "mark", "time", "label"}
@@ -87,6 +90,7 @@ class LineEvents(HTMLParser):
         return self.lines
 
 
+@lru_cache(maxsize=CACHED_LINES)
 def _squash(s: str) -> str:
     return " ".join(re.findall(r"\w+", s.casefold()))
 
@@ -184,6 +188,7 @@ def _teaser(plain: str) -> bool:
     return False
 
 
+@lru_cache(maxsize=CACHED_LINES)
 def furniture(plain: str) -> bool:
     return bool(FURNITURE.match(plain) or TICKER.match(plain))
 
@@ -204,7 +209,7 @@ def classify(text: str, html: str | None, title: str | None, residue: re.Pattern
                 key = _squash(t)
                 region[key] = region.get(key, False) or bool(keep)
                 linked[key] = linked.get(key, True) and link >= 0.8 * len(t)
-    own = content_regions(np.array([float(len(p)) for p in plain])) if n else []
+    own: np.ndarray | None = None
     keys = [_squash(p) for p in plain]
     name = _squash(title or "")
     head = next((i for i, k in enumerate(keys) if k and name and k == name), None)
@@ -239,7 +244,9 @@ def classify(text: str, html: str | None, title: str | None, residue: re.Pattern
         elif _ITEM.match(lines[i]) or _PERSON.match(bare[i]) or _FACT.match(bare[i]) or len(bare[i].split()) <= 4:
             out.append(True)
         else:
-            out.append(region.get(keys[i], bool(own[i])))
+            if keys[i] not in region and own is None:
+                own = content_regions(np.array([float(len(p)) for p in plain]))
+            out.append(region[keys[i]] if keys[i] in region else bool(own[i]))
     return out
 
 

@@ -85,13 +85,38 @@ MESSAGE_WORDS = (
 BARE_CODE = r"^(?:4\d\d|5\d\d)$"
 
 
-def line_pattern():
+#: Whatever the patterns match holds one of these in lower case; a text without them needs no search (fixed values).
+HINTS = (
+    "{", "<", "[", "@@", "##", "__", "%", "«", "goes_here", "goes here", "lorem", "ipsum", "dolor", "amet", "velit", "morbi", "cursus", "tempora", "nulla", "libero", "vellum", "tantis", "nostra",
+    "ullam", "vexit", "ponder", "fabula", "merula", "quora", "pretio", "sagax", "sedit", "dummy", "placeholder", "filler", "sample", "supplied by", "type your", "hint when done", "asdf",
+    "qwerty", "foo ", "foo\n", "bar ", "blah", "xxx", "test test", "test\ntest", "test  ", "heading ", "error", "oops", "whoops", "sorry", "denied", "forbidden", "unauthori", "not found", "rate limit", "too many", "unavailable", "gateway",
+    "database", "traceback", "fatal", "exception", "javascript", "scripts", "skripte", "please ", "session", "went wrong", "checking", "verify", "introuvable", "nicht gefunden", "lo sentimos",
+)
+
+
+class LinePattern:
+    """A pattern with a cheap test before it is searched in long texts."""
+
+    def __init__(self, pattern):
+        import re
+
+        self.pattern, self.code = pattern, re.compile(r"(?:^|\n)[45]\d\d\r?(?:\n|$)")
+
+    def search(self, text: str):
+        if len(text) > 200:
+            low = text.lower()
+            if not any(h in low for h in HINTS) and not self.code.search(text):
+                return None
+        return self.pattern.search(text)
+
+
+def line_pattern() -> LinePattern:
     """One Python pattern that tells a single line of residue: a message, a placeholder or filler."""
     import re
 
     message = MESSAGE.replace("(?i)^", "", 1).replace("#:", r"\d+:").replace("(?:#\\s*)?", r"(?:\d+\s*)?")
     body = [f"(?i:^{message})", PLACEHOLDER, FILLER.replace("(?im:", "(?i:").replace("(?m:", "(?:"), BARE_CODE, r"^\W*(?:Heading|Subheading) \d+\W*$", r"^\s+at [\w.$]+\(.*\)$", r"^\s*File \".*\", line \d+"]
-    return re.compile("|".join(f"(?:{x})" for x in body), re.M)
+    return LinePattern(re.compile("|".join(f"(?:{x})" for x in body), re.M))
 
 
 def mask(line: Column) -> Column:
