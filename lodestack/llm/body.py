@@ -169,7 +169,7 @@ _ITEM = re.compile(r"^\s*(?:[-*•]\s+|\d{1,2}[.)]\s+)")
 _PERSON = re.compile(r"^\W*[^\W\d_][\w’'. -]{2,60}?(?:\s+[—–-]\s+|:\s+|,\s+)[^.]{3,80},\s*[^,.]{2,60}$")
 _FACT = re.compile(r"^\W*[^\W\d_][\w ’'/-]{1,40}:\s+\S.{0,80}$")
 _WAY_BACK = re.compile(r"(?i)^(?:go )?back(?: to (?:the )?(?:start|home|homepage|front page))?\W*$")
-_MARKS = re.compile(r"[\s.!…»|·]+$")
+_MARKS = " \t\r.!…»|·"
 #: Several menu entries on one line.
 _STRIP = re.compile(r"^\W*\w[\w &'’-]{1,28}(?:\s*[|·•/›»]\s*\w[\w &'’-]{1,28}){2,}\W*$")
 _GAPPED = re.compile(r"^\W*\w[\w&'’-]*(?: \w[\w&'’-]*){0,3}(?:\s{2,}\w[\w&'’-]*(?: \w[\w&'’-]*){0,3}){2,}\W*$")
@@ -217,7 +217,7 @@ def classify(text: str, html: str | None, title: str | None, residue: re.Pattern
         head = next((i for i, x in enumerate(lines) if x.lstrip().startswith("# ")), None)
     if head is None and name:
         head = next((i for i, k in enumerate(keys) if len(k) > 20 and (name.startswith(k) or k.startswith(name))), None)
-    bare = [_MARKS.sub("", p) for p in plain]
+    bare = [p.rstrip(_MARKS) for p in plain]
     named = [bool(p) and furniture(b) for p, b in zip(plain, bare)]
     told = bool(residue and residue.search(text))
     message = [told and bool(p and residue.search(p)) for p in plain]

@@ -74,4 +74,10 @@ def oracle_sql() -> dict[str, str]:
         , g AS (SELECT k.id, list(k.n) AS gone FROM k JOIN f ON k.site = f.site AND k.key = f.key GROUP BY k.id)
         SELECT h.id, array_to_string(list_filter(string_split(h.text_content, chr(10)), lambda v, i: NOT list_contains(coalesce(g.gone, []), i)), chr(10)) AS clean_text,
                CAST(coalesce(len(g.gone), 0) AS INTEGER) AS removed_lines FROM harvested_urls h LEFT JOIN g ON h.id = g.id"""
-    return {"p3_clean": lines + clean, "p5_found": _survivors_sql(), "p3_found": lines + " SELECT k.id AS id, CAST(k.n AS INTEGER) AS line_no FROM k JOIN f ON k.site = f.site AND k.key = f.key"}
+    n = spans.MIN_SPAN
+    grams = f"""
+        WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= {n}),
+        g AS (SELECT DISTINCT doc_id, md5_number(substring(text, i, {n})) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - {n - 1})) AS i FROM d)),
+        r AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1), k AS (SELECT g.* FROM g JOIN r ON g.h = r.h)
+        SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id"""
+    return {"p8_found": grams, "p3_clean": lines + clean, "p5_found": _survivors_sql(), "p3_found": lines + " SELECT k.id AS id, CAST(k.n AS INTEGER) AS line_no FROM k JOIN f ON k.site = f.site AND k.key = f.key"}
