@@ -82,6 +82,13 @@ _CHUNK_NORMAL = (
 )
 
 
+def _text_of(pattern: str) -> str:
+    x = f"regexp_extract(raw_html, '(?is){pattern}', 1)"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", chr(34)), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    return f"trim({x})"
+
+
 def _fetches(s, d):
     """Stored pages after their latest fetch, a fetch with an id as its attempt order."""
     f = table(s, d, "fetch_results").filter("fetched_at is not null")
@@ -112,6 +119,8 @@ def queries():
         "chunk_normal": lambda s, d: _h(s, d).select("id", F.sha2(text.chunk_normal(F.col("text_content")), 256).alias("normal")),
         "chunk_text": lambda s, d: index.make_chunks(_h(s, d)).select("url_id", "ordinal", "char_start", "char_end", "heading", F.length("text").alias("chars")),
         "html_pages": lambda s, d: _h(s, d).filter("raw_html <> ''").select("id", html.page_extractor()(F.col("raw_html")).alias("p")).select("id", "p.title", "p.description", "p.method", F.length("p.text").alias("chars"), F.coalesce(F.try_element_at("p.meta", F.lit("lang")), F.lit("")).alias("lang")),
+        "html_meta": lambda s, d: _h(s, d).filter("raw_html <> ''").select("id", html.page_extractor()(F.col("raw_html")).alias("p")).select("id", "p.title", "p.description", F.coalesce(F.try_element_at("p.meta", F.lit("lang")), F.lit("")).alias("lang")),
+        "page_anchors": lambda s, d: _h(s, d).filter("raw_html <> ''").select("id", F.size(html.anchors(F.col("raw_html"), F.col("url"))).alias("n_links")),
         "reextract": lambda s, d: harvest.reextract(_h(s, d)).select("id", "crawl_status", "char_count", "word_count", "content_hash"),
         # classification
         "block_reason": lambda s, d: table(s, d, "fetch_results").select("fetch_id", st.block_reason(F.col("text"), F.col("title"), F.col("html")).alias("reason")),
@@ -153,6 +162,8 @@ def oracle_sql():
         "title_shorten": "SELECT id, CASE WHEN length(coalesce(title, '')) > 40 THEN substring(title, 1, 39) || '…' ELSE coalesce(title, '') END AS short_title FROM harvested_urls",
         "prompt_truncation": "SELECT doc_id, sha256(p) AS prompt_hash, CAST(length(p) AS INTEGER) AS prompt_chars FROM (SELECT doc_id, CASE WHEN length(text) > 8000 THEN substring(text, 1, 6000) || chr(10) || chr(10) || '[...middle of page omitted...]' || chr(10) || chr(10) || substring(text, length(text) - 1999, 2000) ELSE text END AS p FROM documents WHERE text IS NOT NULL)",
         "chunk_normal": f"SELECT id, sha256({_CHUNK_NORMAL}) AS normal FROM harvested_urls",
+        "html_meta": f"SELECT id, {_text_of('<title[^>]*>([^<]*)</title>')} AS title, {_text_of('<meta name=.description. content=.([^>]*).>')} AS description, regexp_extract(raw_html, '(?i)<html[^>]*\\slang=.([a-zA-Z-]+)', 1) AS lang FROM harvested_urls WHERE raw_html <> ''",
+        "page_anchors": "SELECT id, CAST(len(regexp_extract_all(raw_html, '(?i)<a\\s[^>]*href=[^>]*>')) AS INTEGER) AS n_links FROM harvested_urls WHERE raw_html <> ''",
         "block_reason": f"SELECT fetch_id, CASE {_MARKERS} WHEN length(t) <= 2500 AND ({_any('t', st.CHALLENGE_PHRASES)}) THEN 'blocked by site bot protection (a challenge page was served with HTTP 200)' ELSE '' END AS reason FROM (SELECT fetch_id, lower(coalesce(html, '')) AS h, lower(regexp_replace(regexp_replace(coalesce(title, '') || chr(10) || coalesce(text, ''), '{q.WS}+', ' ', 'g'), '^ +| +$', '', 'g')) AS t FROM fetch_results)",
         "humanise_failure": f"SELECT id, CASE WHEN coalesce(error, '') = '' THEN '' ELSE {_HUMAN} END AS sentence FROM (SELECT id, error, lower(coalesce(error, '')) AS r, coalesce(http_status, 0) AS c FROM harvested_urls)",
         "status_from_http": "SELECT fetch_id, CASE WHEN status_code IS NULL THEN 'FAILED' WHEN status_code IN (401, 403, 429, 451) THEN 'BLOCKED' WHEN status_code >= 400 THEN 'FAILED' ELSE 'SUCCESS' END AS outcome FROM fetch_results",
