@@ -6,7 +6,7 @@ the wanted length. Sentence ends alone cannot serve as cuts here: a shared passa
 inside sentences, so a run of whole sentences inside it need not exist. The cuts are the positions
 whose run hash is the smallest of some CUT_WINDOW consecutive positions, which puts at least one whole
 common run into every common span of RUN + CUT_WINDOW - 1 = 200 characters. `shared_clean` then works
-on sentences: those covered by any non-first repeated span are removed.
+on sentences: those covered by spans that an earlier document holds are removed, the spans being exact.
 
 Defined results: null texts and texts shorter than the span have no links; repeated doc_ids never link
 to themselves; equal texts of sufficient length are linked as one class and only expanded for the
@@ -212,27 +212,50 @@ def shared_pairs(docs: DataFrame) -> DataFrame:
     return across.unionByName(within)
 
 
+def _reach(w: DataFrame) -> DataFrame:
+    """k, lf, rf of windows inside a common span of MIN_SPAN: first (least holder), and by how many characters
+    the first and last such span start before the window: lo, hi of any other holder, past_lo, past_hi of an
+    earlier holder than first. Equal flanks reach as far as they go; only keys with several flanks are tried
+    in steps, as groups of equal spans, so no pairs are formed.
+    """
+    flank = STEP - 1
+    lo, hi = F.greatest(F.lit(flank) - F.length("rf"), F.lit(0)), F.length("lf")
+    seen = w.groupBy("k", "lf", "rf").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    several = seen.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
+    steps = seen.join(several, "k").filter(lo <= hi).withColumn("i", F.explode(F.sequence(lo, hi)))
+    steps = steps.withColumn("l", F.expr("right(lf, i)")).withColumn("r", F.expr(f"left(rf, {flank} - i)"))
+    spans = steps.groupBy("k", "i", "l", "r").agg(F.min("first").alias("a"), F.max("last").alias("b")).filter("a < b")
+    past = F.when(F.col("a") < F.col("first"), F.col("i"))
+    reach = steps.join(spans, ["k", "i", "l", "r"]).groupBy("k", "lf", "rf").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.min(past).alias("past_lo"), F.max(past).alias("past_hi"))
+    whole = (F.col("first") < F.col("last")) & (lo <= hi)
+    got = seen.join(reach, ["k", "lf", "rf"], "left").filter(F.col("lo").isNotNull() | whole)
+    return got.select("k", "lf", "rf", "first", F.coalesce("lo", lo).alias("lo"), F.coalesce("hi", hi).alias("hi"), "past_lo", "past_hi")
+
+
 def shared_intervals(docs: DataFrame) -> DataFrame:
-    """doc_id, spans (array of [at, to) merged and sorted), first (whether this is the span's first holder) per document.
+    """doc_id, rep, is_copy, spans and later (arrays of (at, to), sorted) per document: what any other document, and what an earlier one, holds in runs of MIN_SPAN.
 
-    Linear in the number of repeated windows: no pairs are formed. Spans are exact to STEP - 1 characters.
+    Linear in the number of repeated windows: no pairs are formed. The union of the spans is exact.
     """
     copies = cut(copy_classes(docs))
-    w = repeated_windows(docs, copies, True).select("k", "doc_id", "at")
-    again = w.groupBy("k").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("k", "first")
-    held = w.join(again, "k").select("doc_id", "at", (F.col("doc_id") > F.col("first")).alias("later"))
-    per = held.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at"), F.array_sort(F.collect_set(F.when(F.col("later"), F.col("at")))).alias("later_at"))
-    return copies.select(F.col("doc_id"), F.col("rep")).join(per.withColumnRenamed("doc_id", "rep"), "rep", "full_outer").select(F.coalesce("doc_id", "rep").alias("doc_id"), "rep", F.col("doc_id").isNotNull().alias("is_copy"), "at", "later_at")
+    w = repeated_windows(docs, copies, True).repartition("k", "lf", "rf")
+    span = lambda lo, hi: F.struct((F.col("at") - hi).alias("at"), (F.col("at") - lo + MIN_SPAN).alias("to"))
+    past = F.when(F.col("doc_id") > F.col("first"), span(F.greatest(F.lit(STEP - 1) - F.length("rf"), F.lit(0)), F.length("lf"))).when(F.col("past_lo").isNotNull(), span(F.col("past_lo"), F.col("past_hi")))
+    held = w.join(_reach(w), ["k", "lf", "rf"]).select("doc_id", span(F.col("lo"), F.col("hi")).alias("span"), past.alias("past"))
+    per = held.groupBy("doc_id").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("past")).alias("later"))
+    return copies.select(F.col("doc_id"), F.col("rep")).join(per.withColumnRenamed("doc_id", "rep"), "rep", "full_outer").select(F.coalesce("doc_id", "rep").alias("doc_id"), "rep", F.col("doc_id").isNotNull().alias("is_copy"), "spans", "later")
 
 
-def _covered(at: str) -> F.Column:
-    """Characters under the union of windows that start at the sorted positions."""
-    return F.expr(f"aggregate({at}, named_struct('n', 0, 'to', 0), (s, x) -> named_struct('n', s.n + x + {WINDOW} - greatest(x, s.to), 'to', x + {WINDOW}), s -> s.n)")
+def _covered(spans: F.Column) -> F.Column:
+    """Characters under the union of sorted spans."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
+    more = lambda s, x: F.struct((s.n + F.greatest(x.to - F.greatest(x.at, s.to), F.lit(0))).alias("n"), F.greatest(x.to, s.to).alias("to"))
+    return F.coalesce(F.aggregate(spans, start, more, lambda s: s.n), F.lit(0))
 
 
 def shared_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, shared_chars, shared_part for every row of documents."""
-    per = shared_intervals(docs).select("doc_id", "is_copy", _covered("coalesce(at, array())").alias("n"))
+    per = shared_intervals(docs).select("doc_id", "is_copy", _covered(F.col("spans")).alias("n"))
     size = F.coalesce(F.length("text"), F.lit(0))
     return (
         docs.select("doc_id", size.alias("n_chars"))
@@ -252,16 +275,15 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     end = re.compile(SENTENCE_END)
     for batch in batches:
         ids, texts, drops = [], [], []
-        for doc, text, at, whole in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for doc, text, later, whole in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if text is None or whole:
                 kept, n = (text, 0) if text is None else ("", len(text))
-            elif not at:
+            elif not later:
                 kept, n = text, 0
             else:
-                a = np.asarray(at, dtype=np.int64)
                 cover = np.zeros(len(text) + 1, dtype=np.int32)
-                np.add.at(cover, a, 1)
-                np.add.at(cover, np.minimum(a + WINDOW, len(text)), -1)
+                np.add.at(cover, [x["at"] for x in later], 1)
+                np.add.at(cover, [x["to"] for x in later], -1)
                 bare = np.concatenate(([0], np.cumsum(np.cumsum(cover[:-1]) == 0)))
                 parts, start = [], 0
                 for m in [*end.finditer(text), None]:
@@ -279,5 +301,5 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_clean(docs: DataFrame) -> DataFrame:
     """Every document without the sentences that a non-first repeated span covers; a later copy becomes empty."""
-    per = shared_intervals(docs).select("doc_id", F.col("later_at").alias("at"), (F.col("is_copy") & (F.col("doc_id") > F.col("rep"))).alias("whole"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(per, "doc_id", "left").select("doc_id", "text", "at", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(_cleaned, "doc_id long, clean_text string, removed_chars int")
+    per = shared_intervals(docs).select("doc_id", "later", (F.col("is_copy") & (F.col("doc_id") > F.col("rep"))).alias("whole"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(per, "doc_id", "left").select("doc_id", "text", "later", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(_cleaned, "doc_id long, clean_text string, removed_chars int")

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 
@@ -79,3 +80,34 @@ def test_empty_and_huge(spark):
     big = "".join(random.Random(6).choice("abcdefgh ") for _ in range(400_000))
     docs = spark.createDataFrame([(1, big, 0, ""), (2, "zz" + big[200_000:200_400], 0, "")], DOCS)
     assert [tuple(r) for r in s.shared_pairs(docs).collect()] == [(1, 2)]
+
+
+def test_clean_and_report_are_exact(spark):
+    """Against brute force: every sentence under runs of 200 that an earlier document holds goes, no other."""
+    rnd = random.Random(12)
+    say = lambda n: "The " + "".join(rnd.choice("abcdefghij ") for _ in range(n)).strip() + ". "
+    few = lambda k: "".join(say(rnd.randrange(40, 90)) for _ in range(k))
+    data = []
+    for g in range(40):
+        p = few(rnd.choice((2, 3, 4, 6)))
+        data += [(10 * g + i, few(rnd.randrange(3)) + (p if i < 3 else p[rnd.randrange(60) : -rnd.randrange(1, 60)]) + few(rnd.randrange(3)), 0, "") for i in range(5)]
+    data += [(9000, "q" * 20 + data[0][1][:199], 0, ""), (9001, "ab" * 300, 0, ""), (9002, "c" + "ab" * 130 + ". End.", 0, "")]
+    grams = lambda t: {t[i : i + s.MIN_SPAN] for i in range(len(t) - s.MIN_SPAN + 1)}
+    held, want_clean, want_n = {i: grams(t) for i, t, *_ in data}, {}, {}
+    under = lambda t, others: {j for i in range(len(t) - s.MIN_SPAN + 1) if t[i : i + s.MIN_SPAN] in others for j in range(i, i + s.MIN_SPAN)}
+    texts = {t for _, t, *_ in data}
+    assert len(texts) > 100
+    for i, t, *_ in data:
+        same = len(t) >= s.MIN_SPAN and [j for j, u, *_ in data if u == t and j < i]
+        gone = under(t, set().union(*(h for j, h in held.items() if j < i)))
+        want_n[i] = len(under(t, set().union(*(h for j, h in held.items() if j != i))))
+        parts, start = [], 0
+        for m in [*re.finditer(s.SENTENCE_END, t), None]:
+            stop = m.start() if m else len(t)
+            if stop == start or not gone.issuperset(range(start, stop)):
+                parts.append(t[start : m.end() if m else stop])
+            start = m.end() if m else stop
+        want_clean[i] = "" if same else "".join(parts)
+    docs = spark.createDataFrame(data, DOCS)
+    assert {r.doc_id: r.shared_chars for r in s.shared_report(docs).collect()} == want_n
+    assert {r.doc_id: r.clean_text for r in s.shared_clean(docs).collect()} == want_clean
