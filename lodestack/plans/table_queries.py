@@ -97,6 +97,7 @@ def queries():
         "merge_records": lambda s, d: records.merge_records(_model(s, d), _pattern(s, d)).select("url_id", "rank", "name", "title", "company", "bio", "confidence"),
         "person_pages": lambda s, d: records.link_chunks(people(s, d).select("id", "url_id", "name"), pages(s, d).filter("text_content <> ''").select(F.col("id").alias("url_id"), F.col("id").alias("chunk_id"), F.col("text_content").alias("text"))).select("id", F.size("source_chunk_ids").alias("n_chunks")),
         "infer_company": lambda s, d: pages(s, d).select("id", pf.infer_company(F.lit(""), F.col("normalized_url")).alias("company")),
+        "page_company": lambda s, d: pages(s, d).select("id", pf.infer_company(F.col("text_content"), F.col("normalized_url")).alias("company")),
         "confidence_clamp": lambda s, d: people(s, d).select("id", text.clamp_unit(F.get_json_object("raw_json", "$.pass")).alias("confidence")),
         "citations": lambda s, d: _t("documents")(s, d).select("doc_id", F.array_join(text.citations(F.col("text")).cast("array<string>"), ",").alias("cited")).filter("cited <> ''"),
     }

@@ -269,3 +269,12 @@ def test_log(spark, tmp_path):
     assert log.append(df, str(tmp_path / "log")) and spark.read.parquet(str(tmp_path / "log")).count() == 3
     (tmp_path / "file").write_text("x")
     assert not log.append(df, str(tmp_path / "file" / "sub"))
+
+
+def test_page_company_reads_the_top_of_the_page(spark, tmp_path):
+    from lodestack.plans import table_queries
+
+    rows = [(1, "Klajeve Instruments | Leadership\nx", "https://www.foo.example/a"), (2, "Our team: Zosulo Mining", "https://foo.example/b"), (3, "About Fenkive Ceramics\nx", "https://foo.example/c"), (4, "Plain text", "https://foo.example/d"), (5, None, "https://bar.example/")]
+    spark.createDataFrame(rows, "id long, text_content string, normalized_url string").write.parquet(f"{tmp_path}/harvested_urls.parquet")
+    got = {r.id: r.company for r in table_queries.queries()["page_company"](spark, str(tmp_path)).collect()}
+    assert got == {1: "Klajeve Instruments", 2: "Zosulo Mining", 3: "Fenkive Ceramics", 4: "Foo", 5: "Bar"}
