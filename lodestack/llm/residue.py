@@ -1,8 +1,8 @@
 """Problem 4: template residue, filler and error-page text in place of content.
 
 Method: numbers, addresses and dates of each line are masked; lines that carry a word of the message
-vocabulary are grouped by the hash of their masked form across sources; forms that recur over several
-sources are messages, beside those that a phrase rule names outright. Placeholders and filler are
+vocabulary are grouped by the hash of their masked form across sources, however long; forms that recur over
+several sources are messages, beside those that a phrase rule names outright, with or without such a word. Placeholders and filler are
 found by rules on the whole text, also inside real text.
 
 Defined results: null, empty and blank texts are no cases; a text that only speaks of messages or quotes
@@ -137,18 +137,17 @@ def corpus_rows(fetches: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def candidate_lines(rows: DataFrame) -> DataFrame:
-    """table_name, row_id, source, form, named: lines with message vocabulary and their masked form."""
-    some = rows.filter(F.col("text").rlike(MESSAGE_WORDS) | F.col("text").rlike(r"(?m)" + BARE_CODE))
-    lines = some.select("table_name", "row_id", "source", F.explode(F.split("text", r"\r?\n", -1)).alias("line"))
+    """table_name, row_id, source, form (hash of the masked line), named: lines that a phrase rule names or that hold message vocabulary."""
+    lines = rows.select("table_name", "row_id", "source", F.explode(F.split("text", r"\r?\n", -1)).alias("line")).filter(F.trim("line") != "")
     lines = lines.withColumn("line", F.trim(F.regexp_replace("line", r"(?U)\s+", " ")))
-    lines = lines.filter(F.col("line").rlike(MESSAGE_WORDS) | F.col("line").rlike(BARE_CODE))
     named = F.regexp_replace("line", r"\d+", "#").rlike(MESSAGE) | F.col("line").rlike(BARE_CODE)
-    return lines.select("table_name", "row_id", "source", mask(F.col("line")).alias("form"), named.alias("named"))
+    lines = lines.filter(named | F.col("line").rlike(MESSAGE_WORDS))
+    return lines.select("table_name", "row_id", "source", F.xxhash64(mask(F.col("line"))).alias("form"), named.alias("named"))
 
 
 def recurring_forms(cands: DataFrame, min_sources: int = MIN_SOURCES) -> DataFrame:
     """form, n_sources of masked lines that min_sources sources share (pre-aggregated by source)."""
-    per = cands.filter(F.length("form") <= 200).groupBy("form", "source").agg(F.count(F.lit(1)).alias("n"))
+    per = cands.groupBy("form", "source").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("form").agg(F.count(F.lit(1)).alias("n_sources"), F.sum("n").alias("n_rows")).filter(F.col("n_sources") >= min_sources)
 
 

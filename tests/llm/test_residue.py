@@ -82,3 +82,11 @@ def test_unknown_message_is_found_by_recurrence(spark):
 @pytest.mark.parametrize("line,hit", [("Error 503: the file you asked for could not be found.", True), ("Welcome, {{x}}", True), ("410", True), ("Home", False), ("A plain sentence.", False)])
 def test_line_pattern(line, hit):
     assert bool(r.line_pattern().search(line)) == hit
+
+
+def test_phrase_rules_need_no_vocabulary_and_long_lines_recur(spark):
+    named = ["Sorry, this page does not exist.", "Sorry, this page has been removed.", "Oops! That page does not exist", "401 Unauthorized", "Please enable cookies to continue.", "Something went wrong. Please try later."]
+    long_ = "This request {} was stopped by the guard before the page and its " + "very " * 50 + "long notice on your browser"
+    rows = [(i, f"https://s{i}.example/", f"Menu\n{t}", "", "") for i, t in enumerate(named)] + [(20 + i, f"https://t{i}.example/", long_.format(i), "", "") for i in range(3)] + [(30, "https://u.example/", "Sorry, this page of his diary does not exist in print, says Omar.", "", "")]
+    got = {x.row_id for x in r.residue_rows(spark.createDataFrame(rows, FETCH), spark.createDataFrame([], PAGES)).collect()}
+    assert got == {*range(6), 20, 21, 22}
