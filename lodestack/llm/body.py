@@ -1,15 +1,21 @@
 """Problem 2: keep the main body of each page.
 
 Method: the standard library's streaming HTML parser gives events; each rendered line gets its ratio of
-text to tags; the ratios are smoothed with a Gaussian and split by two-means threshold clustering into
-content and other regions. Lines of the page's text take the region of the rendered line with the same
-words; pages without usable HTML use the lines' own lengths as ratios. An exact check of single lines
-follows: furniture that can be named (notices, menus, credits, sharing, adverts, teasers, footers) goes
-also from content regions, and headlines, headings, lists and facts of the page come back from others.
+text to tags. Text inside links, before the headline, in capitals throughout, or recurring on other pages of
+the site counts as markup; headings and list items take the ratio of the text they stand beside. The ratios are smoothed with
+a Gaussian that stays inside one container, and two-means threshold clustering splits each page into content
+and other regions. The regions of all pages then teach what the form of a line (names and numbers masked)
+and its place (site, container, element) say, and each line is judged by what the other lines of its form
+and place are. An exact check follows: lines in the form of the corpus's own headlines are teasers, lines
+that say what they are (copyright, consent, sharing, dates of publication) go, messages in place of content
+stay.
+
+Plan: one map over the pages turns each line into a few numbers, so HTML and text are read once and never
+shuffled; supports and evidence are partial aggregations joined back to those rows.
 
 Defined results: pages without text give no rows; blank lines are never listed; broken or missing HTML
-only removes the evidence of the regions; several rows with one id are judged each by itself. Whole
-texts and whole HTML are read.
+only removes the evidence of the regions; rows that agree in id, title, text and HTML are one page, other
+rows with one id are judged each by itself. Whole texts and whole HTML are read.
 """
 
 from __future__ import annotations
@@ -21,34 +27,53 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIGMA = 1.5
-#: Lines whose judgement a worker remembers, as sites repeat theirs.
+from lodestack.functions.urls import domain_of
+from lodestack.session import cut
+
+SIGMA = 0.7
+#: A line that so many pages of a site hold is the site's, not the page's.
+RECURS = 3
+#: A form that so many pages carry as their headline is a headline's form.
+HEADLINES = 3
+#: Weights of the place and of the line's own region beside the evidence of its form, and pseudo-counts.
+PLACE, OWN, FORM_COUNT, PLACE_COUNT = 0.5, 0.3, 2.0, 8.0
+#: Lines whose form a worker remembers, as sites repeat theirs.
 CACHED_LINES = 100_000
-#: Elements whose text is never rendered, and elements that end a line (fixed values).
+#: Elements whose text is never rendered, elements inside a line, links, and elements that hold single lines (fixed values).
 SILENT = {"script", "style", "noscript", "template", "svg", "head", "title"}
 INLINE = {"a", "b", "i", "em", "strong", "span", "u", "small", "sup", "sub", "font", "code", "abbr", "cite", "q", "s", "mark", "time", "label"}
 LINKS = {"a", "button", "option"}
+LEAVES = {"p", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "dl", "dt", "dd", "blockquote", "pre", "td", "th", "tr", "tbody", "thead", "br", "hr"}
+VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PLAIN, HEADING, ITEM, LINK = range(4)
+#: Bits of a line: the page's headline, before it, named furniture, a message in place of content, first of its key in the page.
+HEADLINE, BEFORE, NAMED, MESSAGE, FIRST = 1, 2, 4, 8, 16
 
 
 class LineEvents(HTMLParser):
-    """Turns parser events into rendered lines: words, characters, tags, characters inside links."""
+    """Turns parser events into rendered lines: words, tags, characters inside links, container, element."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, str, str]] = []
         self._text: list[str] = []
         self._tags = 0
         self._link = 0
         self._in_link = 0
         self._quiet = 0
+        self._leaf = ""
+        self._open: list[tuple[str, str]] = []
 
     def _close(self) -> None:
         text = " ".join("".join(self._text).split())
         if text:
-            self.lines.append((text, self._tags, self._link))
+            place = next((name for _, name in reversed(self._open) if name != "div"), "")
+            self.lines.append((text, self._tags, self._link, place, self._leaf))
             self._tags, self._link = 0, 0
         self._text = []
 
@@ -61,12 +86,20 @@ class LineEvents(HTMLParser):
         elif tag in LINKS or any(k == "onclick" for k, _ in attrs):
             if tag == "a":
                 self._close()
+                self._leaf = tag
             self._in_link += 1
+        if tag in LEAVES:
+            self._leaf = tag
+        elif tag not in INLINE and tag not in SILENT and tag not in VOID:
+            named = [f"{k}={v}" for k, v in attrs if k in ("class", "id") and v]
+            self._open.append((tag, " ".join([tag, *named])))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
             self._close()
         self._tags += 1
+        if tag in LEAVES:
+            self._leaf = tag
 
     def handle_endtag(self, tag: str) -> None:
         self._tags += 1
@@ -76,6 +109,11 @@ class LineEvents(HTMLParser):
             self._in_link -= 1
         if tag not in INLINE:
             self._close()
+            if tag not in LEAVES:
+                for i in range(len(self._open) - 1, -1, -1):
+                    if self._open[i][0] == tag:
+                        del self._open[i:]
+                        break
 
     def handle_data(self, data: str) -> None:
         if self._quiet:
@@ -84,108 +122,121 @@ class LineEvents(HTMLParser):
         if self._in_link:
             self._link += len(data.strip())
 
-    def done(self) -> list[tuple[str, int, int]]:
+    def done(self) -> list[tuple[str, int, int, str, str]]:
         self.close()
         self._close()
         return self.lines
 
 
-@lru_cache(maxsize=CACHED_LINES)
-def _squash(s: str) -> str:
-    return " ".join(re.findall(r"\w+", s.casefold()))
-
-
-def rendered_lines(html: str) -> list[tuple[str, int, int]]:
+def rendered_lines(html: str) -> list[tuple[str, int, int, str, str]]:
     p = LineEvents()
     p.feed(html)
     return p.done()
 
 
-def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    r = int(np.ceil(3 * sigma))
-    k = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma))
-    k /= k.sum()
-    return np.convolve(np.pad(ratios, r, mode="edge"), k, mode="valid")
+_WORD = re.compile(r"\w+")
 
 
-def content_regions(ratios: np.ndarray) -> np.ndarray:
-    """True where the smoothed ratio belongs to the upper of two clusters (two-means on its logarithm)."""
-    if len(ratios) < 3:
-        return np.ones(len(ratios), dtype=bool)
-    x = np.log1p(smoothed(ratios))
-    low, high = x.min(), x.max()
-    if high - low < 0.2:
-        return np.ones(len(x), dtype=bool)
+@lru_cache(maxsize=CACHED_LINES)
+def _squash(s: str) -> str:
+    return " ".join(_WORD.findall(s.casefold()))
+
+
+_PART = re.compile(r"[^\W\d_]+|\d+|[,.:;!?()|]")
+_DOTTED = re.compile(r"\b(?:[^\W\d_]\.){2,}")
+_STOP = re.compile(r"[.!?…]\s+(?=[^\W\d_a-zß-ÿ“„«\"\d])")
+_FIXED = 8
+
+
+@lru_cache(maxsize=CACHED_LINES)
+def form(line: str) -> str:
+    """The line's opening up to its first sentence end, with names (capital words) and numbers masked.
+
+    Where too few letters would stay to tell forms apart, the first word stays as it is.
+    """
+    s = _DOTTED.sub("X ", line)
+    m = _STOP.search(s)
+    s = s[: m.start()] if m else s
+    out: list[str] = []
+    kept, first = 0, ""
+    for w in _PART.findall(s):
+        c = w[0]
+        if c.isdigit():
+            t = "#"
+        elif not c.isalpha():
+            t = w
+        else:
+            first = first or w.lower()
+            t = "X" if c.isupper() else w
+            kept += 0 if c.isupper() else len(w)
+        if not (out and t in "X#" and out[-1] == t):
+            out.append(t)
+    while out and out[-1] in ".!":
+        out.pop()
+    return " ".join(out) if kept >= _FIXED else f"{first}: {' '.join(out)}"
+
+
+def smoothed(ratios: np.ndarray, groups: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """Gaussian smoothing of the lines in order; lines of another group do not take part."""
+    num, den = ratios.astype(float), np.ones(len(ratios))
+    total = num.copy()
+    for o in range(1, min(int(np.ceil(3 * sigma)), len(ratios) - 1) + 1):
+        w = np.exp(-(o * o) / (2 * sigma * sigma)) * (groups[o:] == groups[:-o])
+        total[o:] += w * num[:-o]
+        total[:-o] += w * num[o:]
+        den[o:] += w
+        den[:-o] += w
+    return total / den
+
+
+def content_regions(smooth: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """True where a smoothed ratio belongs to the upper of its page's two clusters (two-means on the logarithm).
+
+    `page` numbers the pages of the lines in order, from 0; a page whose lines are all alike is content.
+    """
+    if not len(smooth):
+        return np.zeros(0, dtype=bool)
+    x = np.log1p(smooth)
+    starts = np.flatnonzero(np.concatenate(([True], page[1:] != page[:-1])))
+    at = np.cumsum(np.concatenate(([True], page[1:] != page[:-1]))) - 1
+    low, high = np.minimum.reduceat(x, starts), np.maximum.reduceat(x, starts)
+    flat = high - low < 0.2
+    n = np.diff(np.append(starts, len(x)))
+    whole = np.add.reduceat(x, starts)
     for _ in range(12):
-        mid = (low + high) / 2
-        up = x > mid
-        new = (x[~up].mean() if (~up).any() else low, x[up].mean() if up.any() else high)
-        if abs(new[0] - low) + abs(new[1] - high) < 1e-6:
-            break
-        low, high = new
-    return x > (low + high) / 2
+        up = x > ((low + high) / 2)[at]
+        k = np.add.reduceat(up.astype(float), starts)
+        s = np.add.reduceat(np.where(up, x, 0.0), starts)
+        low, high = np.where(k < n, (whole - s) / np.maximum(n - k, 1), low), np.where(k > 0, s / np.maximum(k, 1), high)
+    return (x > ((low + high) / 2)[at]) | flat[at]
 
 
-#: Furniture that can be named by its wording, on lines with squeezed space and no end marks (fixed patterns).
+#: Lines that say themselves what they are, without end marks (fixed patterns).
 FURNITURE = re.compile(
     r"(?i)^\W*(?:"
-    # consent notices
-    r"by (?:browsing|using|visiting) .{1,80} you agree to .*|we and \d+ partners .*|.{1,80} stores small files on your device.*"
-    r"|this (?:website|site|page) (?:remembers your preferences with|uses|is using) cookies.*|we use cookies.*|cookie (?:choices|settings|preferences|notice|policy)\b.*"
-    r"|your privacy matters to .*|diese (?:website|seite)\b.{0,90}cookies.*|.{1,80} utilise des (?:traceurs|cookies).*|.{0,80}\b(?:utiliza|usa|utilizamos) cookies.*|(?:accept|reject) all(?: cookies)?"
+    # consent
+    r"(?:we|this (?:website|site|page)|.{1,80}) (?:uses?|is using) cookies\b.*|cookie (?:choices|settings|preferences|notice|policy)\b.*|(?:accept|reject) all(?: cookies)?|we and \d+ partners\b.*"
     # paths
     r"|(?:home(?:page)?|start|you are here|startseite|accueil|inicio)\s*[:>»/›]\s*.{2,160}"
-    # credits and dates
-    r"|[^.:;]{3,60}, (?:staff writer|staff reporter|correspondent|editor|guest author|contributor)|by the .{2,90} (?:press|news|media) (?:office|desk|team)"
-    r"|(?:posted|published|updated|written|edited|reported|last (?:updated|modified|changed|reviewed)) (?:on |by |at )?\W*\d{1,4}[./-]\d{1,2}[./-]\d{1,4}.{0,80}"
-    r"|(?:posted|published|updated) (?:on )?.{3,40} by .{3,60}|written by .{3,60}(?: for .{2,80})?|(?:text|words|photos?|author|story): [^.:]{3,60}|reading time: ?\d+.*|\d+ min(?:ute)?s? read.*"
-    # sharing, sign-up, reactions
-    r"|(?:share|send|email|e-mail|print|forward|recommend|tweet) (?:this|the) (?:page|profile|story|article|text)\b.{0,60}|share: .{3,60}|share on .{3,60}|save for later\b.{0,60}|report (?:a|this) (?:mistake|error)\b.{0,40}"
-    r"|did you like .{3,140}|follow .{2,110} for (?:more )?(?:updates|news|stories)|follow us.{0,60}|subscribe to (?:our|the|this)\b.{0,90}|subscribe now.{0,60}|sign up for\b.{0,90}|join \d+ (?:readers|subscribers|others)\b.*"
-    r"|get the .{2,110} (?:letter|newsletter|digest|bulletin)\b.*|.{0,60}enter your (?:mail|e-?mail) address"
+    # dates, credits, reactions
+    r"|(?:posted|published|updated|last (?:updated|modified|changed)) (?:on |by |at )?\W*\d{1,4}[./-]\d{1,2}[./-]\d{1,4}.{0,80}|reading time: ?\d+.*|\d+ min(?:ute)?s? read.*"
     r"|[^.!?]{3,60} commented: .*|\d+ comments?|leave a comment.{0,40}|comments? (?:are )?closed"
-    # legal notices
-    r"|statements about the future on the pages of .*|figures are unaudited unless stated otherwise.*|the content of .{2,90} is for information only.*|.{2,90} is not responsible for the content of .*"
-    r"|registered office: .*|.{0,30}all rights reserved|©.*|copyright\b.{0,90}|all marks belong to their owners?|see the terms of use.*"
-    # adverts, tickers
-    r"|advertisement|sponsored(?: content| link)?|anzeige|publicité|publicidad|.{5,140}\bnow \d+ (?:percent|%) off\b.*|(?:[A-Z]{3,5} [+-]?\d+(?:\.\d+)?\s*){2,}"
-    # headings of lists of other pages
-    r"|(?:you (?:may|might) also like|related (?:stories|articles|pages|posts|profiles|news)|most read|most popular|recommended (?:profiles|stories|for you|pages)|latest(?: news| stories)?|more (?:from|stories|news)\b.{0,90}|read (?:next|also|more)|see also|trending(?: now)?|popular now|editor'?s picks|in other news|up next)"
-    # footers
-    r"|imprint(?:\W+\w+){0,6}|accessibility statement|sitemap|site map|back to (?:top|start|home)|call us: ?[+\d ()-]+|made with care in .{2,60}|skip to (?:main )?content|terms(?: of use)?|privacy(?: policy| notice)?|contact us|.{2,90}, \d+ (?:\w+ ){1,3}(?:road|street|avenue|lane|way|square), .{2,60}"
+    # sharing, sign-up
+    r"|(?:share|send|email|e-mail|print|forward|recommend|tweet) (?:this|the) (?:page|profile|story|article|text)\b.{0,60}|share: .{3,60}|share on .{3,60}|follow us.{0,60}|subscribe to (?:our|the|this)\b.{0,90}|sign up for\b.{0,90}"
+    # legal notices, adverts
+    r"|.{0,30}all rights reserved|©.*|copyright\b.{0,90}|registered office: .*|advertisement|sponsored(?: content| link)?|anzeige|publicité|publicidad|.{5,140}\b\d+ ?(?:percent|%) off\b.*"
+    # headings of lists of other pages, footers
+    r"|(?:you (?:may|might) also like|related (?:stories|articles|pages|posts|profiles|news)|most read|most popular|recommended (?:profiles|stories|for you|pages)|see also|trending(?: now)?)"
+    r"|imprint(?:\W+\w+){0,6}|accessibility statement|sitemap|back to (?:top|start|home)|skip to (?:main )?content|terms(?: of use)?|privacy(?: policy| notice)?|contact us"
     r")\W*$"
 )
-#: Tickers are told by their capitals.
+#: Quotes of shares: capitals and numbers by turns.
 TICKER = re.compile(r"^\W*(?:[A-Z]{3,5} [+-]?\d+(?:\.\d+)?\W*){2,}$")
-#: Wordings of headlines as teasers and titles carry them (fixed patterns).
-HEADLINE = re.compile(
-    r"^\W*(?:(?i:How .{3,110} won .{3,90}|Meet .{3,90} and the people of .{3,60}|Profile of [^.]{3,70}, [^.]{3,70}, [^.]{2,60}"
-    r"|[^.]{3,110}(?:S\.A\.)? and .{3,110} agree on (?:the )?.{3,60}|[^.]{3,70} takes? over the .{3,60} in .{2,60}|[^:]{3,110} leadership: .{3,60})"
-    r"|(?:[^\W\d_a-z][\w.’'-]* ){1,3}[^\W\d_a-z][\w.’'-]* (?i:in) [^\W\d_a-z][^,.:;]{1,60} (?i:on) [^,.:;]{5,90})$"
-)
-_SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
-_STOP = re.compile(r"\.\s+(?=[^\W\d_a-z“„«\"])|\.\s+(?=[“„«\"\d])")
-_ITEM = re.compile(r"^\s*(?:[-*•]\s+|\d{1,2}[.)]\s+)")
-_PERSON = re.compile(r"^\W*[^\W\d_][\w’'. -]{2,60}?(?:\s+[—–-]\s+|:\s+|,\s+)[^.]{3,80},\s*[^,.]{2,60}$")
-_FACT = re.compile(r"^\W*[^\W\d_][\w ’'/-]{1,40}:\s+\S.{0,80}$")
+_ITEM = re.compile(r"\s*(?:[-*•]\s+|\d{1,2}[.)]\s+)")
+_SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 _WAY_BACK = re.compile(r"(?i)^(?:go )?back(?: to (?:the )?(?:start|home|homepage|front page))?\W*$")
 _MARKS = " \t\r.!…»|·"
-#: Several menu entries on one line.
-_STRIP = re.compile(r"^\W*\w[\w &'’-]{1,28}(?:\s*[|·•/›»]\s*\w[\w &'’-]{1,28}){2,}\W*$")
-_GAPPED = re.compile(r"^\W*\w[\w&'’-]*(?: \w[\w&'’-]*){0,3}(?:\s{2,}\w[\w&'’-]*(?: \w[\w&'’-]*){0,3}){2,}\W*$")
-
-
-def _teaser(plain: str) -> bool:
-    """A headline, alone or followed by the opening of its text."""
-    if HEADLINE.match(plain):
-        return True
-    # "S.A." and other dotted forms may stand inside the headline
-    for m in _STOP.finditer(plain):
-        if m.start() > 170:
-            break
-        if HEADLINE.match(plain[: m.start()]):
-            return True
-    return False
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @lru_cache(maxsize=CACHED_LINES)
@@ -193,60 +244,57 @@ def furniture(plain: str) -> bool:
     return bool(FURNITURE.match(plain) or TICKER.match(plain))
 
 
-def classify(text: str, html: str | None, title: str | None, residue: re.Pattern | None = None) -> list[bool]:
-    """For each line of text (split at newlines) whether it is body; blank lines count as body."""
+def page_features(text: str, html: str | None, title: str | None, site: str | None, residue: re.Pattern | None = None) -> list[tuple[int, int, int, int, int, float, int, int]]:
+    """(line_no, key, form, place, group, ratio, kind, bits) of each line that is not blank.
+
+    key is what must recur on the site for the line to be the site's: its form, or for whole sentences and
+    headings and items its letters. group tells the lines between which ratios are smoothed.
+    """
     lines = text.split("\n")
     plain = [" ".join(x.split()) for x in lines]
-    n = len(lines)
-    # text-to-tag ratios of the rendered lines, then regions
-    region: dict[str, bool] = {}
-    linked: dict[str, bool] = {}
-    if html:
-        rendered = rendered_lines(html)
-        if rendered:
-            ratios = np.array([max(len(t) - link, 1) / max(tags, 1) for t, tags, link in rendered])
-            for (t, _, link), keep in zip(rendered, content_regions(ratios)):
-                key = _squash(t)
-                region[key] = region.get(key, False) or bool(keep)
-                linked[key] = linked.get(key, True) and link >= 0.8 * len(t)
-    own: np.ndarray | None = None
     keys = [_squash(p) for p in plain]
+    seen: dict[str, tuple[str, int, int, str, str]] = {}
+    for r in rendered_lines(html) if html else ():
+        seen.setdefault(_squash(r[0]), r)
     name = _squash(title or "")
-    head = next((i for i, k in enumerate(keys) if k and name and k == name), None)
+    head = next((i for i, k in enumerate(keys) if k and k == name), None)
     if head is None:
         head = next((i for i, x in enumerate(lines) if x.lstrip().startswith("# ")), None)
     if head is None and name:
         head = next((i for i, k in enumerate(keys) if len(k) > 20 and (name.startswith(k) or k.startswith(name))), None)
-    bare = [p.rstrip(_MARKS) for p in plain]
-    named = [bool(p) and furniture(b) for p, b in zip(plain, bare)]
     told = bool(residue and residue.search(text))
     message = [told and bool(p and residue.search(p)) for p in plain]
     if any(m and p.isdigit() for m, p in zip(message, plain)):  # a bare status code comes with a way back
         message = [m or bool(_WAY_BACK.match(p)) for m, p in zip(message, plain)]
-    prose = [len(p) >= 45 and bool(_SENTENCE.search(p)) and not f and not _teaser(p) for p, f in zip(plain, named)]
-    first = head if head is not None else next((i for i in range(n) if prose[i] or message[i]), n)
-    out = []
+    start = head if head is not None else next((i for i, p in enumerate(plain) if message[i] or len(p) >= 45 and _SENTENCE.search(p)), len(plain))
+    site = site or ""
+    out, met = [], set()
     for i, p in enumerate(plain):
-        if not p or i == head or message[i]:
-            out.append(True)
-        elif named[i] or _STRIP.match(p) or _GAPPED.match(lines[i]):
-            out.append(False)
-        elif lines[i].lstrip().startswith("#"):
-            out.append(True)
-        elif _teaser(bare[i]) or _teaser(p):
-            out.append(False)
-        elif prose[i]:
-            out.append(True)
-        elif i < first:
-            out.append(False)
-        elif linked.get(keys[i]) and not _ITEM.match(lines[i]):
-            out.append(False)
-        elif _ITEM.match(lines[i]) or _PERSON.match(bare[i]) or _FACT.match(bare[i]) or len(bare[i].split()) <= 4:
-            out.append(True)
+        if not p:
+            continue
+        _, tags, link, place, leaf = seen.get(keys[i]) or ("", 2, 0, "", "")
+        size = len(p)
+        if link >= 0.8 * size:
+            kind = LINK
+        elif leaf in HEADINGS or p[0] == "#":
+            kind = HEADING
+        elif leaf == "li" or _ITEM.match(lines[i]):
+            kind = ITEM
         else:
-            if keys[i] not in region and own is None:
-                own = content_regions(np.array([float(len(p)) for p in plain]))
-            out.append(region[keys[i]] if keys[i] in region else bool(own[i]))
+            kind = PLAIN
+        bare = p.rstrip(_MARKS)
+        shape = form(p)
+        bits = (HEADLINE if i == head else 0) | (BEFORE if i < start else 0) | (NAMED if furniture(bare) else 0) | (MESSAGE if message[i] else 0)
+        whole = kind in (HEADING, ITEM) or _SENTENCE.search(p)
+        letters = "".join(_LETTERS.findall(p.lower())) if whole else ""
+        key = xxhash.xxh64_intdigest(f"{site}\n{letters or shape}")
+        if key not in met:
+            met.add(key)
+            bits |= FIRST
+        loud = kind == PLAIN and p.isupper() and len(_WORD.findall(p)) > 1
+        ratio = 0.0 if kind == LINK or loud or bits & BEFORE else max(size - link, 0) / max(tags, 1)
+        group = xxhash.xxh32_intdigest(place + "!" * loud)
+        out.append((i + 1, key, xxhash.xxh64_intdigest(shape), xxhash.xxh64_intdigest(f"{site}\n{place}\n{leaf}\n{kind}{loud}"), group, ratio, kind, bits))
     return out
 
 
@@ -256,37 +304,107 @@ def _residue_pattern() -> re.Pattern:
     return r.line_pattern()
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pattern = _residue_pattern()
-    for batch in batches:
-        ids, nos = [], []
-        for row, title, text, html in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            for no, keep in enumerate(classify(text, html, title, pattern), 1):
-                if not keep:
-                    ids.append(row)
-                    nos.append(no)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32())], names=["id", "line_no"])
+LINES = "page long, id long, line_no int, key long, form long, place long, grp int, ratio float, kind int, bits int"
+JUDGED = "page long, id long, line_no int, form long, place long, content boolean, bits int"
+
 
+def _signed(xs: list[int], bits: int) -> np.ndarray:
+    return np.array(xs, dtype=f"uint{bits}").view(f"int{bits}")
 
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pattern = _residue_pattern()
     for batch in batches:
-        ids, bodies = [], []
-        for row, title, text, html in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            ids.append(row)
-            bodies.append(text and "\n".join(x for x, keep in zip(text.split("\n"), classify(text, html, title, pattern)) if keep))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.string())], names=["id", "body"])
+        pages, ids, rows = [], [], []
+        for page, row, title, text, html, site in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            got = page_features(text, html, title, site, pattern)
+            rows.extend(got)
+            pages.extend([page] * len(got))
+            ids.extend([row] * len(got))
+        no, key, shape, place, group, ratio, kind, bits = zip(*rows) if rows else [()] * 8
+        cols = [pa.array(pages, pa.int64()), pa.array(ids, pa.int64()), pa.array(no, pa.int32()), *(pa.array(_signed(x, 64), pa.int64()) for x in (key, shape, place)), pa.array(_signed(group, 32), pa.int32()), pa.array(ratio, pa.float32()), pa.array(kind, pa.int32()), pa.array(bits, pa.int32())]
+        yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in LINES.split(", ")])
+
+
+def line_regions(page: np.ndarray, group: np.ndarray, ratio: np.ndarray, kind: np.ndarray, bits: np.ndarray, recurs: np.ndarray) -> np.ndarray:
+    """Whether each line lies in a content region; lines come in page order, `page` numbers the pages from 0."""
+    site_own = recurs & (kind == PLAIN)
+    v = np.where(site_own, 0.0, ratio)
+    # headings and items take the ratio of the text they stand beside in their container
+    lend = (kind == HEADING) | (kind == ITEM)
+    if lend.any():
+        lent = np.zeros(len(v))
+        for order in (range(len(v)), range(len(v) - 1, -1, -1)):
+            last: dict[int, float] = {}
+            at = -1
+            for i in order:
+                if page[i] != at:
+                    last, at = {}, page[i]
+                if lend[i]:
+                    lent[i] = max(lent[i], last.get(group[i], 0.0))
+                elif kind[i] == PLAIN and not site_own[i]:
+                    last[group[i]] = v[i]
+        v = np.where(lend & (bits & BEFORE == 0), lent, v)
+    top = np.zeros(int(page[-1]) + 1 if len(page) else 0)
+    np.maximum.at(top, page, v)
+    v = np.where(bits & HEADLINE != 0, top[page], v)
+    apart = (page.astype(np.int64) << 34) ^ (group.astype(np.int64) << 2) ^ (2 * site_own) ^ (bits & BEFORE != 0)
+    return content_regions(smoothed(v, apart), page)
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(2)
+        n = np.diff(lists.offsets.to_numpy())
+        page = np.repeat(np.arange(len(n)), n)
+        f = {x.name: y for x, y in zip(lists.type.value_type, lists.flatten().flatten())}
+        no = f["line_no"].to_numpy()
+        order = np.lexsort((no, page))
+        again = np.concatenate(([False], (np.diff(page[order]) == 0) & (np.diff(no[order]) == 0)))[: len(order)]
+        order = order[~again]  # rows of a page that is there twice
+        take = lambda c: f[c].to_numpy(zero_copy_only=False)[order]
+        page, bits, recurs = page[order], take("bits"), take("recurs")
+        content = line_regions(page, take("grp"), take("ratio").astype(float), take("kind"), bits, recurs)
+        place = take("place") * 2 + recurs
+        held = lambda i: batch.column(i).to_numpy(zero_copy_only=False)[page]
+        cols = [pa.array(held(0), pa.int64()), pa.array(held(1), pa.int64()), pa.array(no[order], pa.int32()), pa.array(take("form"), pa.int64()), pa.array(place, pa.int64()), pa.array(content, pa.bool_()), pa.array(bits, pa.int32())]
+        yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in JUDGED.split(", ")])
 
 
 def _source(pages: DataFrame) -> DataFrame:
-    return pages.select(F.col("id").cast("long").alias("id"), "title", "text_content", "raw_html")
+    p = pages.select(F.col("id").cast("long").alias("id"), "title", F.col("text_content").cast("string").alias("text_content"), "raw_html", domain_of(F.col("normalized_url")).alias("site"))
+    return p.select(F.xxhash64("id", "title", "text_content", "raw_html").alias("page"), "id", "title", "text_content", "raw_html", "site")
+
+
+def _judged_lines(source: DataFrame) -> DataFrame:
+    """page, id, line_no of the lines that are not body."""
+    lines = cut(source.filter("id is not null and trim(text_content) <> ''").mapInArrow(_features, LINES))
+    recurring = lines.filter(f"bits & {FIRST} <> 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= RECURS).select("key", F.lit(True).alias("recurs"))
+    known = lines.join(recurring, "key", "left").withColumn("recurs", F.coalesce("recurs", F.lit(False)))
+    per_page = known.groupBy("page", "id").agg(F.collect_list(F.struct("line_no", "form", "place", "grp", "ratio", "kind", "bits", "recurs")).alias("l"))
+    told = cut(per_page.mapInArrow(_regions, JUDGED))
+    headline = F.col("bits").bitwiseAND(HEADLINE) != 0
+    # what the regions say of each form and place; titles only tell which forms headlines have
+    value = F.when(F.col("content"), 0.9).otherwise(0.1)
+    forms = told.groupBy("form").agg(F.sum(F.when(~headline, value)).alias("fs"), F.count(F.when(~headline, 1)).alias("fn"), F.count(F.when(headline, 1)).alias("heads")).filter("fn + heads > 1")
+    places = told.groupBy("place").agg(F.sum(value).alias("ps"), F.count(F.lit(1)).alias("pn")).filter("pn > 1")
+    x = told.filter(~headline & (F.col("bits").bitwiseAND(MESSAGE) == 0)).join(forms, "form", "left").join(places, "place", "left")
+    others = lambda s, n, a: (F.coalesce(F.col(s) - value, F.lit(0.0)) + 0.5 * a) / (F.greatest(F.coalesce(F.col(n) - 1, F.lit(0)), F.lit(0)) + a)
+    odds = lambda q: F.log(F.least(F.greatest(q, F.lit(0.002)), F.lit(0.998)) / (1 - F.least(F.greatest(q, F.lit(0.002)), F.lit(0.998))))
+    score = odds(others("fs", "fn", FORM_COUNT)) + PLACE * odds(others("ps", "pn", PLACE_COUNT)) + F.when(F.col("content"), OWN).otherwise(-OWN)
+    body = F.when(F.col("bits").bitwiseAND(BEFORE) != 0, F.col("content")).otherwise(score > 0)
+    checked = (F.col("bits").bitwiseAND(NAMED) != 0) | (F.coalesce("heads", F.lit(0)) >= HEADLINES)
+    return x.filter(~body | checked).select("page", "id", "line_no")
 
 
 def furniture_lines(pages: DataFrame) -> DataFrame:
-    """id, line_no of the lines that are not body. A map-only plan: each page is judged by itself."""
-    return _source(pages).filter("id is not null and trim(text_content) <> ''").mapInArrow(_judged, "id long, line_no int")
+    """id, line_no of the lines that are not body."""
+    return _judged_lines(_source(pages)).select("id", "line_no")
 
 
 def page_bodies(pages: DataFrame) -> DataFrame:
-    """id, body of every page; null text gives null."""
-    return _source(pages).mapInArrow(_bodies, "id long, body string")
+    """id, body of every page; null text gives null. Only numbers of lines are joined with the texts."""
+    source = _source(pages)
+    gone = _judged_lines(source).groupBy("page").agg(F.collect_set("line_no").alias("gone"))
+    kept = F.expr("array_join(filter(split(text_content, '\\n', -1), (x, i) -> gone is null or not array_contains(gone, i + 1)), '\\n')")
+    return source.select("page", "id", "text_content").join(gone, "page", "left").select("id", F.when(F.col("text_content") == "", "").otherwise(kept).alias("body"))
