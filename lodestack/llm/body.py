@@ -40,7 +40,7 @@ RECURS = 3
 #: A form that so many pages carry as their headline is a headline's form.
 HEADLINES = 3
 #: Weights of the place and of the line's own region beside the evidence of its form, and pseudo-counts.
-PLACE, OWN, FORM_COUNT, PLACE_COUNT = 0.5, 0.3, 2.0, 8.0
+PLACE, OWN, FORM_COUNT, PLACE_COUNT = 0.4, 0.3, 2.0, 8.0
 #: Lines whose form a worker remembers, as sites repeat theirs.
 CACHED_LINES = 100_000
 #: Elements whose text is never rendered, elements inside a line, links, and elements that hold single lines (fixed values).
@@ -51,8 +51,8 @@ LEAVES = {"p", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "dl", "dt",
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PLAIN, HEADING, ITEM, LINK = range(4)
-#: Bits of a line: the page's headline, before it, named furniture, a message in place of content, first of its key in the page.
-HEADLINE, BEFORE, NAMED, MESSAGE, FIRST = 1, 2, 4, 8, 16
+#: Bits of a line: the page's headline, before it, named furniture, a message in place of content, first of its key in the page, marked as a heading in the text itself.
+HEADLINE, BEFORE, NAMED, MESSAGE, FIRST, MARKED = 1, 2, 4, 8, 16, 32
 
 
 class LineEvents(HTMLParser):
@@ -144,7 +144,7 @@ def _squash(s: str) -> str:
 
 _PART = re.compile(r"[^\W\d_]+|\d+|[,.:;!?()|]")
 _DOTTED = re.compile(r"\b(?:[^\W\d_]\.){2,}")
-_STOP = re.compile(r"[.!?…]\s+(?=[^\W\d_a-zß-ÿ“„«\"\d])")
+_STOP = re.compile(r"[.!?…]\s+(?=[“„«\"\d]|[^\W\d_a-zß-ÿ])")
 _FIXED = 8
 
 
@@ -192,7 +192,7 @@ def smoothed(ratios: np.ndarray, groups: np.ndarray, sigma: float = SIGMA) -> np
 def content_regions(smooth: np.ndarray, page: np.ndarray) -> np.ndarray:
     """True where a smoothed ratio belongs to the upper of its page's two clusters (two-means on the logarithm).
 
-    `page` numbers the pages of the lines in order, from 0; a page whose lines are all alike is content.
+    `page` numbers the pages of the lines in order, from 0; a page whose lines are all alike is content, if it has any text of its own.
     """
     if not len(smooth):
         return np.zeros(0, dtype=bool)
@@ -200,7 +200,7 @@ def content_regions(smooth: np.ndarray, page: np.ndarray) -> np.ndarray:
     starts = np.flatnonzero(np.concatenate(([True], page[1:] != page[:-1])))
     at = np.cumsum(np.concatenate(([True], page[1:] != page[:-1]))) - 1
     low, high = np.minimum.reduceat(x, starts), np.maximum.reduceat(x, starts)
-    flat = high - low < 0.2
+    flat = (high - low < 0.2) & (high > 0)
     n = np.diff(np.append(starts, len(x)))
     whole = np.add.reduceat(x, starts)
     for _ in range(12):
@@ -220,11 +220,12 @@ FURNITURE = re.compile(
     r"|(?:home(?:page)?|start|you are here|startseite|accueil|inicio)\s*[:>»/›]\s*.{2,160}"
     # dates, credits, reactions
     r"|(?:posted|published|updated|last (?:updated|modified|changed)) (?:on |by |at )?\W*\d{1,4}[./-]\d{1,2}[./-]\d{1,4}.{0,80}|reading time: ?\d+.*|\d+ min(?:ute)?s? read.*"
-    r"|[^.!?]{3,60} commented: .*|\d+ comments?|leave a comment.{0,40}|comments? (?:are )?closed"
+    r"|[^.:;]{3,60}, (?:staff writer|staff reporter|correspondent)|[^.!?]{3,60} commented: .*|\d+ comments?|leave a comment.{0,40}|comments? (?:are )?closed"
     # sharing, sign-up
     r"|(?:share|send|email|e-mail|print|forward|recommend|tweet) (?:this|the) (?:page|profile|story|article|text)\b.{0,60}|share: .{3,60}|share on .{3,60}|follow us.{0,60}|subscribe to (?:our|the|this)\b.{0,90}|sign up for\b.{0,90}"
     # legal notices, adverts
     r"|.{0,30}all rights reserved|©.*|copyright\b.{0,90}|registered office: .*|advertisement|sponsored(?: content| link)?|anzeige|publicité|publicidad|.{5,140}\b\d+ ?(?:percent|%) off\b.*"
+    r"|.{2,90}, \d+ (?:\w+ ){1,3}(?:road|street|avenue|lane|way|square), .{2,60}"
     # headings of lists of other pages, footers
     r"|(?:you (?:may|might) also like|related (?:stories|articles|pages|posts|profiles|news)|most read|most popular|recommended (?:profiles|stories|for you|pages)|see also|trending(?: now)?)"
     r"|imprint(?:\W+\w+){0,6}|accessibility statement|sitemap|back to (?:top|start|home)|skip to (?:main )?content|terms(?: of use)?|privacy(?: policy| notice)?|contact us"
@@ -284,7 +285,7 @@ def page_features(text: str, html: str | None, title: str | None, site: str | No
             kind = PLAIN
         bare = p.rstrip(_MARKS)
         shape = form(p)
-        bits = (HEADLINE if i == head else 0) | (BEFORE if i < start else 0) | (NAMED if furniture(bare) else 0) | (MESSAGE if message[i] else 0)
+        bits = (HEADLINE if i == head else 0) | (BEFORE if i < start else 0) | (NAMED if furniture(bare) else 0) | (MESSAGE if message[i] else 0) | (MARKED if p[0] == "#" and i >= start else 0)
         whole = kind in (HEADING, ITEM) or _SENTENCE.search(p)
         letters = "".join(_LETTERS.findall(p.lower())) if whole else ""
         key = xxhash.xxh64_intdigest(f"{site}\n{letters or shape}")
@@ -294,7 +295,7 @@ def page_features(text: str, html: str | None, title: str | None, site: str | No
         loud = kind == PLAIN and p.isupper() and len(_WORD.findall(p)) > 1
         ratio = 0.0 if kind == LINK or loud or bits & BEFORE else max(size - link, 0) / max(tags, 1)
         group = xxhash.xxh32_intdigest(place + "!" * loud)
-        out.append((i + 1, key, xxhash.xxh64_intdigest(shape), xxhash.xxh64_intdigest(f"{site}\n{place}\n{leaf}\n{kind}{loud}"), group, ratio, kind, bits))
+        out.append((i + 1, key, xxhash.xxh64_intdigest(f"{shape}\n" if kind == LINK else shape), xxhash.xxh64_intdigest(f"{site}\n{place}\n{leaf}\n{kind}{loud}"), group, ratio, kind, bits))
     return out
 
 
@@ -392,7 +393,7 @@ def _judged_lines(source: DataFrame) -> DataFrame:
     others = lambda s, n, a: (F.coalesce(F.col(s) - value, F.lit(0.0)) + 0.5 * a) / (F.greatest(F.coalesce(F.col(n) - 1, F.lit(0)), F.lit(0)) + a)
     odds = lambda q: F.log(F.least(F.greatest(q, F.lit(0.002)), F.lit(0.998)) / (1 - F.least(F.greatest(q, F.lit(0.002)), F.lit(0.998))))
     score = odds(others("fs", "fn", FORM_COUNT)) + PLACE * odds(others("ps", "pn", PLACE_COUNT)) + F.when(F.col("content"), OWN).otherwise(-OWN)
-    body = F.when(F.col("bits").bitwiseAND(BEFORE) != 0, F.col("content")).otherwise(score > 0)
+    body = F.when(F.col("bits").bitwiseAND(BEFORE) != 0, F.col("content")).otherwise((score > 0) | (F.col("bits").bitwiseAND(MARKED) != 0))
     checked = (F.col("bits").bitwiseAND(NAMED) != 0) | (F.coalesce("heads", F.lit(0)) >= HEADLINES)
     return x.filter(~body | checked).select("page", "id", "line_no")
 
