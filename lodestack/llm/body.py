@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.urls import domain_of
+from lodestack.llm.residue import is_residue_line
 from lodestack.session import cut
 
 SIGMA = 0.7
@@ -245,7 +246,7 @@ def furniture(plain: str) -> bool:
     return bool(FURNITURE.match(plain) or TICKER.match(plain))
 
 
-def page_features(text: str, html: str | None, title: str | None, site: str | None, residue: re.Pattern | None = None) -> list[tuple[int, int, int, int, int, float, int, int]]:
+def page_features(text: str, html: str | None, title: str | None, site: str | None) -> list[tuple[int, int, int, int, int, float, int, int]]:
     """(line_no, key, form, place, group, ratio, kind, bits) of each line that is not blank.
 
     key is what must recur on the site for the line to be the site's: its form, or for whole sentences and
@@ -263,8 +264,7 @@ def page_features(text: str, html: str | None, title: str | None, site: str | No
         head = next((i for i, x in enumerate(lines) if x.lstrip().startswith("# ")), None)
     if head is None and name:
         head = next((i for i, k in enumerate(keys) if len(k) > 20 and (name.startswith(k) or k.startswith(name))), None)
-    told = bool(residue and residue.search(text))
-    message = [told and bool(p and residue.search(p)) for p in plain]
+    message = [bool(p) and is_residue_line(p) for p in plain]
     if any(m and p.isdigit() for m, p in zip(message, plain)):  # a bare status code comes with a way back
         message = [m or bool(_WAY_BACK.match(p)) for m, p in zip(message, plain)]
     start = head if head is not None else next((i for i, p in enumerate(plain) if message[i] or len(p) >= 45 and _SENTENCE.search(p)), len(plain))
@@ -299,12 +299,6 @@ def page_features(text: str, html: str | None, title: str | None, site: str | No
     return out
 
 
-def _residue_pattern() -> re.Pattern:
-    from lodestack.llm import residue as r
-
-    return r.line_pattern()
-
-
 LINES = "page long, id long, line_no int, key long, form long, place long, grp int, ratio float, kind int, bits int"
 JUDGED = "page long, id long, line_no int, form long, place long, content boolean, bits int"
 
@@ -314,11 +308,10 @@ def _signed(xs: list[int], bits: int) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pattern = _residue_pattern()
     for batch in batches:
         pages, ids, rows = [], [], []
         for page, row, title, text, html, site in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            got = page_features(text, html, title, site, pattern)
+            got = page_features(text, html, title, site)
             rows.extend(got)
             pages.extend([page] * len(got))
             ids.extend([row] * len(got))

@@ -24,7 +24,8 @@ CASES = [
     ("EMAIL_GOES_HERE", "placeholder"),
     ("your headline goes here now", "placeholder"),
     ("Lorem ipsum dolor sit amet", "filler"),
-    ("Ipsum amet velit dolor morbi cursus tempora velit", "filler"),
+    ("Ipsum amet velit dolor morbi cursus tempora velit amet dolor velit cursus morbi", "filler"),
+    ("Wobble gronk flarn pimmel trask wem flarn gronk dorp wem trask gronk pimmel flarn wem", "filler"),
     ("asdf test foo asdf blah xxx", "filler"),
     ("Dummy content for layout check 12: x", "filler"),
     ("Heading 1\n\nSubheading 2\n\nBody copy to be supplied by x", "filler"),
@@ -55,7 +56,7 @@ CASES = [
     ("", None),
     (None, None),
     ("  \n ", None),
-    ("word " * 200_000, None),
+    ("a word of the text " * 50_000, None),
 ]
 FETCH = "fetch_id long, url string, text string, row_id string, source string"
 PAGES = "id long, normalized_url string, text_content string, text string, reason string"
@@ -79,9 +80,30 @@ def test_unknown_message_is_found_by_recurrence(spark):
     assert r.residue_rows(spark.createDataFrame([], FETCH), none).count() == 0
 
 
-@pytest.mark.parametrize("line,hit", [("Error 503: the file you asked for could not be found.", True), ("Welcome, {{x}}", True), ("410", True), ("Home", False), ("A plain sentence.", False)])
+@pytest.mark.parametrize("line,hit", [("Error 503: the file you asked for could not be found.", True), ("Welcome, {{x}}", True), ("410", True), ("Home", False), ("A plain sentence.", False), ("test text test text", True), ("   at a.b.C(D.java:3)", True)])
 def test_line_pattern(line, hit):
-    assert bool(r.line_pattern().search(line)) == hit
+    assert r.is_residue_line(line) == hit and r.is_residue_line(line + " " * 300) == hit
+
+
+@pytest.mark.parametrize("n", [1, 100, 5000])
+def test_residue_is_found_in_texts_of_any_length(spark, n):
+    pad = "\n".join(f"Line {i} of the report on the harbour and its {i} boats." for i in range(n))
+    rows = [(i, f"https://s{i}.example/", f"{pad}\n{t}\n{pad}", "", "") for i, t in enumerate(["test text test text", "Error 404: the page you asked for could not be found.", "by ${office} demand"])]
+    got = {x.row_id: x.reason for x in r.residue_rows(spark.createDataFrame(rows, FETCH), spark.createDataFrame([], PAGES)).collect()}
+    assert got == {0: "filler", 1: "message", 2: "placeholder"}
+
+
+def test_what_recurs_beside_content_is_no_message(spark):
+    content = "The board of the harbour met on Monday and {} agreed on the plan for the second quay, which the people of the town had asked for in {} letters to the mayor and to the council of the region since spring."
+    rows = [(i, f"https://s{i}.example/", f"Our newsletter\n{content.format(chr(97 + i) * 5, i)}", "", "") for i in range(6)] + [(9, "https://s9.example/", "Our newsletter", "", "")]
+    assert r.residue_rows(spark.createDataFrame(rows, FETCH), spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_hints_hold_for_every_rule():
+    for hints, p in (*r.PLACEHOLDERS, *r.FILLERS):
+        for t, reason in CASES:
+            if reason in ("placeholder", "filler") and t and __import__("re").search(p, t):
+                assert any(h in t.lower() for h in hints)
 
 
 def test_phrase_rules_need_no_vocabulary_and_long_lines_recur(spark):
