@@ -6,6 +6,7 @@ Host names are judged natively; only literal addresses need Python's address rul
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -78,21 +79,9 @@ def reject_reason(url: Column, allow_private: bool = False) -> Column:
     return let(found, judged)
 
 
-def resolving_guard(resolver):
-    """An Arrow UDF over hosts for fetch time: true where any resolved address is not public.
-
-    `resolver(host)` returns address strings; a name that does not resolve is not refused.
-    """
-
-    @F.arrow_udf(BooleanType())
-    def check(hosts: pa.Array) -> pa.Array:
-        out = []
-        for h in hosts.to_pylist():
-            try:
-                found = resolver(h) if h else []
-            except OSError:
-                found = []
-            out.append(any(literal_is_private(a) for a in found))
-        return pa.array(out, pa.bool_())
-
-    return check
+def leads_inside(host: str | None, resolver: Callable[[str], list[str]] | None) -> bool:
+    """At fetch time: whether any address of the host is not public; a name that does not resolve is not refused."""
+    try:
+        return any(map(literal_is_private, resolver(host))) if resolver and host else False
+    except OSError:
+        return False

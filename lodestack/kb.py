@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from lodestack import schemas
 from lodestack.functions.people import extract_people
-from lodestack.operators import crawl, harvest, index, listing, log, records, search, upload
+from lodestack.operators import answers, crawl, harvest, index, listing, log, records, search, upload
 from lodestack.session import ship
 from lodestack.settings import DEFAULTS, Settings
-from lodestack.sources.fetching import CaptureFetcher, Fetcher, fetch_all
+from lodestack.sources.fetching import CaptureFetcher, Fetcher, Resolver, fetch_all
 from lodestack.sources.sheets import SheetError, detect_url_column, read_sheet
 
 POSITIVE = 0x7FFFFFFFFFFFFFFF
@@ -27,9 +27,11 @@ def stable_id(*cols) -> F.Column:
 
 
 class KnowledgeBase:
-    def __init__(self, spark: SparkSession, root: str, settings: Settings = DEFAULTS):
+    def __init__(self, spark: SparkSession, root: str, settings: Settings = DEFAULTS, resolver: Resolver | None = None, second: Fetcher | None = None, renderer: Fetcher | None = None):
+        """resolver gives a host's addresses to the guard, second is the engine for pages that the first cannot reach, renderer a browser for thin and blocked ones."""
         ship(spark)
         self.spark, self.root, self.s = spark, root.rstrip("/"), settings
+        self.resolver, self.second, self.renderer = resolver, second, renderer
 
     # versions ------------------------------------------------------------------------------------
     def _versions(self, name: str) -> list[int]:
@@ -61,6 +63,8 @@ class KnowledgeBase:
     # passes --------------------------------------------------------------------------------------
     def import_sheet(self, path: str, url_column: str | None = None) -> int:
         """A new batch of PENDING pages from a sheet; returns its id."""
+        size = self.spark.read.format("binaryFile").load(path).select("length").first()
+        upload.check_upload(size.length if size else 0, 0, self.s)
         sheet = read_sheet(self.spark, path)
         column = url_column or detect_url_column(sheet)
         if column is None or column not in sheet.columns:
@@ -69,7 +73,7 @@ class KnowledgeBase:
         batch = self._next_id("upload_batches")
         counts = upload.bucket_counts(rows.withColumn("_one", F.lit(1)), ["_one"]).first()
         valid, total = (counts.valid, counts.total) if counts else (0, 0)
-        upload.check_upload(0, valid, self.s)
+        upload.check_upload(size.length if size else 0, valid, self.s)
         new = upload.pending_rows(rows.drop("_row"), batch).withColumn("id", stable_id("batch_id", "normalized_url")).withColumn("created_at", F.current_timestamp())
         pages = self.read("harvested_urls")
         self.write("harvested_urls", pages.unionByName(schemas.sync_columns(new, "harvested_urls").select(*pages.columns)))
@@ -84,8 +88,13 @@ class KnowledgeBase:
         pages = self.read("harvested_urls")
         todo = pages.filter("crawl_status = 'PENDING'")
         todo = todo if batch_id is None else todo.filter(F.col("batch_id") == batch_id)
-        self.write("fetch_results", harvest.extract_pages(fetch_all(todo.select("url"), fetcher, self.s), self.s))
+        self.write("fetch_results", harvest.extract_pages(fetch_all(todo.select("url"), fetcher, self.s, resolver=self.resolver, second=self.second), self.s))
         got = self.read("fetch_results")
+        if self.renderer is not None:
+            thin = got.filter(F.col("crawl_status").isin("PARTIAL", "BLOCKED")).select("url")
+            seen = harvest.extract_pages(fetch_all(thin, self.renderer, self.s, resolver=self.resolver), self.s)
+            self.write("fetch_results", harvest.rerendered(got, schemas.sync_columns(seen, "fetch_results").select(*got.columns), self.s))
+            got = self.read("fetch_results")
         self.write("harvested_urls", harvest.store_results(pages, got))
         n = got.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("crawl_status").isin("SUCCESS", "PARTIAL")).alias("f")).first()
         self._job("harvest", batch_id, n.n, n.f)
@@ -98,7 +107,7 @@ class KnowledgeBase:
         owner = seeds.groupBy(F.col("url").alias("parent_url")).agg(F.min("batch_id").alias("batch_id"))
 
         def level(links: DataFrame) -> DataFrame:
-            got = harvest.extract_pages(fetch_all(links.select("url"), fetcher, self.s), self.s)
+            got = harvest.extract_pages(fetch_all(links.select("url"), fetcher, self.s, resolver=self.resolver, second=self.second), self.s)
             new = links.join(owner, "parent_url", "left").select(F.coalesce("batch_id", F.lit(batch_id).cast("long")).alias("batch_id"), "url", F.col("key").alias("normalized_url"), F.col("depth").alias("crawl_depth"), "parent_url", F.lit("PENDING").alias("crawl_status"))
             new = schemas.sync_columns(new.withColumn("id", stable_id("batch_id", "normalized_url")), "harvested_urls")
             current = self.read("harvested_urls")
@@ -149,5 +158,14 @@ class KnowledgeBase:
         log.append(log.log_rows(q, found, self.s.search_top_k), f"{self.root}/search_log")
         return found
 
+    def answer(self, *questions: str, completer: answers.Completer | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Answers (query_id, query, answer, note), the sources they cite and the person cards of each question."""
+        found = self.search(*questions)
+        asked = found.select("query_id", "query").distinct()
+        said = answers.answer(found, asked, completer, self.s)
+        sources = answers.cited_sources(said, answers.context_slots(found, self.s))
+        people = search.rank_people(found.filter("page_rank is not null").join(said.select("query_id", "answer"), "query_id"), self.s)
+        return said, sources, people
+
     def stats(self) -> DataFrame:
         return listing.table_counts(batches=self.read("upload_batches"), chunks=self.read("chunks"), people=self.read("person_records"), urls=self.read("harvested_urls"), vectors=self.read("vectors"))

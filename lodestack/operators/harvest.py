@@ -11,6 +11,7 @@ from lodestack.functions.quality import assess
 from lodestack.functions.text import char_count, content_hash, word_count
 from lodestack.functions.urls import domain_of, normalize_url
 from lodestack.settings import DEFAULTS, Settings
+from lodestack.sources.fetching import rerendered_wins
 from lodestack.sources.documents import detect_kind, extract_documents
 
 SNIPPET = 400
@@ -67,16 +68,28 @@ def extract_pages(raw: DataFrame, s: Settings = DEFAULTS, main_content=None) ->
     )
 
 
+def rerendered(results: DataFrame, rendered: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Results of one harvest with the rendered page in place of the plain one where it is good and clearly longer."""
+    cols = results.columns
+    other = rendered.groupBy("url").agg(F.max_by(F.struct(*cols), F.col("char_count")).alias("_r"))
+    better = rerendered_wins(F.coalesce("char_count", F.lit(0)), F.col("_r.crawl_status") == "SUCCESS", F.coalesce("_r.char_count", F.lit(0)), s)
+    j = results.join(other, "url", "left").withColumn("_better", better)
+    return j.select(*[F.when(F.col("_better"), F.col(f"_r.{c}")).otherwise(F.col(c)).alias(c) for c in cols])
+
+
 def store_results(pages: DataFrame, results: DataFrame, now: F.Column | None = None) -> DataFrame:
     """The page table with the latest fetch of each normalised URL merged in; other rows stay as they are.
 
-    Results are reduced to one for each URL before the join; metadata merges with the new value winning.
+    Results (fetch_id, if there is one, is unique) are reduced to one for each URL before the join; metadata merges with the new value winning.
     """
     now = F.current_timestamp() if now is None else now
     r = results.withColumn("_key", normalize_url(F.col("url")))
     cols = [c for c in r.columns if c != "_key"]
     order = F.col("fetched_at") if "fetched_at" in cols else F.coalesce("attempts", F.lit(0))
-    one = r.groupBy("_key").agg(F.max_by(F.struct(*cols), order).alias("r"))
+    if "fetch_id" in cols:  # numbers choose the fetch; only the chosen ones' HTML and text are moved
+        chosen = r.groupBy("_key").agg(F.max_by("fetch_id", order).alias("fetch_id")).select("fetch_id")
+        r = r.join(chosen, "fetch_id", "left_semi")
+    one = r.groupBy("_key").agg(F.max_by(F.struct(*cols), order).alias("r")) if "fetch_id" not in cols else r.select("_key", F.struct(*cols).alias("r"))
     j = pages.join(one, pages.normalized_url == one["_key"], "left")
     hit, t = F.col("r").isNotNull(), F.coalesce("r.text", F.lit(""))
     final = F.coalesce(F.nullif("r.final_url", F.lit("")), F.col("url"))

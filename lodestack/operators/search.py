@@ -8,60 +8,79 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from lodestack.functions.vectors import Embedder, embed
 from lodestack.settings import DEFAULTS, Settings
 
-#: Queries held by each worker at a time; more queries are taken in blocks of this size.
-QUERY_BLOCK = 2048
+#: Queries that are sent to all tasks as they are; more meet the vectors by a shuffle, in blocks of this size against blocks of vectors.
+QUERY_BLOCK = 4096
+VECTOR_BLOCK = 50_000
 
 
-def _query_block(queries: DataFrame, block: int, n: int) -> tuple[list, np.ndarray]:
-    rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).select("query_id", "embedding").collect()
-    rows = [r for r in rows if r.embedding is not None]
-    return [r.query_id for r in rows], np.array([r.embedding for r in rows], dtype=np.float64)
+def best_of_block(q: np.ndarray, own: np.ndarray, m: np.ndarray, k: int, round_to: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vector id, score) of the k best vectors of a block for each query, ties to the least id, in no order."""
+    by_id = np.argsort(own, kind="stable")
+    own, s = own[by_id], q @ m[by_id].T
+    if round_to is not None:
+        s = np.round(s, round_to)
+    if s.shape[1] > k:
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+        above, tied = s > least, s == least
+        keep = above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    else:
+        keep = np.ones(s.shape, dtype=bool)
+    rows, cols = np.nonzero(keep)
+    return rows, own[cols], s[rows, cols]
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten()).reshape(n, -1)
+
+
+def _hits(ids: pa.Array, rows: np.ndarray, own: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(own), pa.array(scores)], names=["query_id", "chunk_id", "score"])
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, round_to: int | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank of the k best vectors of each query by inner product, ties to the least id.
 
-    Every vector is scored: each batch of vectors is multiplied with a block of queries and keeps only its own
-    k best per query, so what is shuffled is bounded by k per query and batch. Queries are taken in blocks of
-    bounded size. With round_to, scores are rounded before they are ranked. Null vectors score nothing.
+    Every vector is scored and read once: each block of vectors is multiplied with the queries and keeps only its
+    own k best per query, so what is shuffled is bounded by k per query and block. Up to QUERY_BLOCK queries go to
+    the vectors' tasks; more are dealt into blocks that meet blocks of vectors by key. With round_to, scores are
+    rounded before they are ranked. Null vectors score nothing.
     """
-    total = queries.count()
-    n = max(1, -(-total // QUERY_BLOCK))
-    out = None
     kind = "string" if isinstance(queries.schema["query_id"].dataType, StringType) else "long"
-    if kind == "long" and not isinstance(queries.schema["query_id"].dataType, LongType):
-        queries = queries.withColumn("query_id", F.col("query_id").cast("long"))
+    asked = queries.filter("embedding is not null").select(F.col("query_id").cast(kind).alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     base = vectors.filter("embedding is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    for block in range(n):
-        ids, q = _query_block(queries, block, n)
-        if not ids:
-            continue
+    out = f"query_id {kind}, chunk_id long, score double"
+    few = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if few.num_rows <= QUERY_BLOCK:
+        ids, q = few.column(0).combine_chunks(), _matrix(few.column(1), few.num_rows) if few.num_rows else None
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not b.num_rows:
-                    continue
-                own = np.asarray(b.column(0))
-                m = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
-                s = q @ m.T
-                if round_to is not None:
-                    s = np.round(s, round_to)
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows]), pa.array(own[order.ravel()]), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "chunk_id", "score"])
-
-        part = base.mapInArrow(run, f"query_id {kind}, chunk_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, chunk_id long, score double, rank int")
+                if b.num_rows and q is not None:
+                    yield _hits(ids, *best_of_block(q, np.asarray(b.column(0)), _matrix(b.column(1), b.num_rows), k, round_to))
+
+        found = base.mapInArrow(run, out)
+    else:
+        n_q, n_v = -(-asked.count() // QUERY_BLOCK), max(1, -(-base.count() // VECTOR_BLOCK))
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = base.withColumn("v", F.pmod(F.xxhash64("chunk_id"), F.lit(n_v))).withColumn("b", numbers(n_q))
+        right = asked.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("v", numbers(n_v))
+
+        def meet(v: pa.Table, a: pa.Table) -> pa.Table:
+            if not v.num_rows or not a.num_rows:
+                return pa.table({"query_id": pa.array([], pa.string() if kind == "string" else pa.int64()), "chunk_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            got = best_of_block(_matrix(a.column("embedding"), a.num_rows), np.asarray(v.column("chunk_id")), _matrix(v.column("embedding"), v.num_rows), k, round_to)
+            return pa.Table.from_batches([_hits(a.column("query_id").combine_chunks(), *got)])
+
+        found = left.groupBy("v", "b").cogroup(right.groupBy("v", "b")).applyInArrow(meet, out)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= max(1, k))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= max(1, k))
 
 
 def threshold_or_best(hits: DataFrame, s: Settings = DEFAULTS, top_k: int | None = None) -> DataFrame:

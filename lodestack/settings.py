@@ -29,6 +29,8 @@ class Settings:
     max_retries: int = 2
     retry_backoff_s: float = 0.75
     crawl_delay_s: float = 1.0
+    respect_robots: bool = True
+    user_agent: str = "lodestack"
     discover_links: bool = False
     max_pages_per_url: int = 25
     max_crawl_depth: int = 2

@@ -127,8 +127,91 @@ def test_robots(spark):
 def test_engine_choice(spark):
     df = spark.createDataFrame([(100, True, 200), (100, True, 120), (100, False, 500), (100, None, 500)], "c int, q boolean, r int")
     assert [r.x for r in df.select(fetching.rerendered_wins(F.col("c"), F.col("q"), F.col("r")).alias("x")).collect()] == [True, False, False, False]
-    p = df.select(fetching.prefer(F.lit("a"), F.lit("b"), F.col("q")).alias("x")).first().x
-    assert p == "b"
+
+    def down(url):
+        raise OSError("connection refused")
+
+    two = fetching.CaptureFetcher({"https://a.example/1": fetching.Response(200, "text/html", b"two")})
+    urls = spark.createDataFrame([("https://a.example/1",), ("https://a.example/2",)], "url string")
+    quick = Settings(max_retries=0, crawl_delay_s=0.0)
+    got = {r.url: r for r in fetching.fetch_all(urls, down, quick, second=two).collect()}
+    assert bytes(got["https://a.example/1"].body) == b"two" and got["https://a.example/1"].attempts == 2 and got["https://a.example/2"].status_code is None
+
+
+def test_robots_in_the_fetch_path(spark):
+    cap = fetching.CaptureFetcher({
+        "https://a.example/robots.txt": fetching.Response(200, "text/plain", b"User-agent: *\nDisallow: /private/"),
+        "https://a.example/private/x": fetching.Response(200, "text/html", b"secret"), "https://a.example/open": fetching.Response(200, "text/html", b"open"),
+        "https://b.example/robots.txt": fetching.Response(503), "https://b.example/private/x": fetching.Response(200, "text/html", b"b"),
+    })
+    urls = spark.createDataFrame([("https://a.example/private/x",), ("https://a.example/open",), ("https://b.example/private/x",)], "url string")
+    quick = Settings(max_retries=0, crawl_delay_s=0.0)
+    got = {r.url: r for r in fetching.fetch_all(urls, cap, quick).collect()}
+    shut = got["https://a.example/private/x"]
+    assert (shut.status_code, shut.attempts, shut.error) == (None, 0, fetching.ROBOTS_REASON)
+    assert bytes(got["https://a.example/open"].body) == b"open" and bytes(got["https://b.example/private/x"].body) == b"b"
+    from lodestack.operators.harvest import extract_pages
+
+    assert {r.url: r.crawl_status for r in extract_pages(fetching.fetch_all(urls, cap, quick), quick).collect()}["https://a.example/private/x"] == "SKIPPED"
+    free = Settings(max_retries=0, crawl_delay_s=0.0, respect_robots=False)
+    assert all(r.body for r in fetching.fetch_all(urls, cap, free).collect())
+
+
+def test_addresses_are_checked_before_fetching(spark):
+    cap = fetching.CaptureFetcher({"https://in.example/": fetching.Response(200, "text/html", b"x"), "https://out.example/": fetching.Response(200, "text/html", b"y")})
+
+    def resolver(host):
+        if host == "gone.example":
+            raise OSError("no such host")
+        return {"in.example": ["93.184.216.34", "10.0.0.7"], "out.example": ["93.184.216.34"]}[host]
+
+    urls = spark.createDataFrame([("https://in.example/",), ("https://out.example/",), ("https://gone.example/",)], "url string")
+    got = {r.url: r for r in fetching.fetch_all(urls, cap, Settings(max_retries=0, crawl_delay_s=0.0), resolver=resolver).collect()}
+    assert "private" in got["https://in.example/"].error and got["https://in.example/"].attempts == 0
+    assert bytes(got["https://out.example/"].body) == b"y" and got["https://gone.example/"].attempts == 1
+
+
+def test_bodies_are_read_no_further_than_the_cap():
+    read = []
+
+    def pieces():
+        for _ in range(1000):
+            read.append(1)
+            yield b"x" * 10
+
+    assert fetching.capped(pieces(), 35) == b"x" * 35 and len(read) == 4
+    assert fetching.capped(None, 5) == b"" and fetching.capped(b"abcdefgh", 3) == b"abc"
+
+
+def test_pdf_pages_that_cannot_be_read_are_empty():
+    class Page:
+        def __init__(self, text):
+            self.text = text
+
+        def extract_text(self):
+            if self.text is None:
+                raise KeyError("font")
+            return self.text
+
+    class Book:
+        is_encrypted = False
+        metadata = type("Info", (), {"title": "T", "author": None, "subject": "s" * 900})()
+
+        def __init__(self, _):
+            self.pages = [Page("one"), Page(None), Page("  "), Page("four")]
+
+    text, meta = documents.pdf_text(b"", Book)
+    assert text == "## Page 1\n\none\n\n## Page 4\n\nfour"
+    assert meta == {"document_kind": "pdf", "pages": "4", "pages_without_text": "2", "pdf_title": "T", "pdf_subject": "s" * 500}
+
+
+def test_rerendered_pages_replace_thin_ones(spark):
+    from lodestack.operators.harvest import rerendered
+
+    cols = "url string, crawl_status string, char_count int, text string"
+    plain = spark.createDataFrame([("a", "PARTIAL", 100, "x"), ("b", "PARTIAL", 100, "x"), ("c", "SUCCESS", 900, "x")], cols)
+    seen = spark.createDataFrame([("a", "SUCCESS", 600, "y"), ("b", "SUCCESS", 120, "y")], cols)
+    assert {r.url: r.text for r in rerendered(plain, seen).collect()} == {"a": "y", "b": "x", "c": "x"}
 
 
 def test_index_stream(spark, small, tmp_path):
