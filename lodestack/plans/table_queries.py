@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestack.functions import people as pf
 from lodestack.functions import text
 from lodestack.functions.vectors import unit
-from lodestack.operators import index, listing, log, records, search
+from lodestack.operators import answers, index, listing, log, records, search
 from lodestack.session import table
 from lodestack.settings import Settings
+from lodestack.sources import fetching
 
 #: The query set of the vector queries: every row whose id is divisible by this, against all rows.
 EVERY = 20
@@ -55,6 +57,43 @@ def kb_search(s, d):
     return r.select("query_id", "query", "page_key", "page_rank", "score", "chunk_id", "url_id", "url", "title", "relevant", "note")
 
 
+#: An answer that cites pages in several ways, one of them unknown.
+ANSWER = "Both [2] and 【1†L3-L9】 say so, [90] does not; see [2] and [3]."
+ROBOTS = [
+    (1, "User-agent: *\nDisallow: /private/", 200, "https://a.example/private/x", False),
+    (2, "User-agent: *\nDisallow: /private/", 200, "https://a.example/open", True),
+    (3, "User-agent: *\nDisallow: /", 503, "https://b.example/x", True),
+    (4, None, None, "https://c.example/x", True),
+    (5, "User-agent: *\nDisallow:", 200, "https://d.example/x", True),
+    (6, "User-agent: other\nDisallow: /", 200, "https://e.example/x", True),
+    (7, "User-agent: lodestack\nDisallow: /a\nAllow: /", 200, "https://f.example/a/b", False),
+]
+
+
+def results(s, d):
+    """Search results for the answer queries: each batch asks, its first eight pages answer with their description."""
+    first = F.row_number().over(Window.partitionBy("batch_id").orderBy("id"))
+    text_of = lambda c: F.coalesce(c, F.lit(""))
+    r = table(s, d, "harvested_urls").filter("batch_id is not null").select("id", "batch_id", "url", "title", "meta_description").withColumn("page_rank", first).filter("page_rank <= 8")
+    chunk = F.struct(F.col("id").alias("chunk_id"), F.lit(1.0).alias("score"), F.struct(F.lit("").alias("heading"), text_of(F.col("meta_description")).alias("text")).alias("payload"))
+    return r.select(F.col("batch_id").alias("query_id"), "page_rank", F.col("id").alias("url_id"), text_of(F.col("title")).alias("title"), text_of(F.col("url")).alias("url"), F.array(chunk).alias("matched_chunks"), (F.col("page_rank") <= 3).alias("relevant"))
+
+
+def _with_people(s, d):
+    return search.attach_people(results(s, d), table(s, d, "person_records").select("id", "url_id", "name", "title", "company", "confidence"))
+
+
+def _cards(s, d):
+    r = _with_people(s, d)
+    asked = r.filter("page_rank = 1").select("query_id", F.concat(F.lit("Who is "), "title").alias("query"), F.lit("").alias("answer"))
+    return search.rank_people(r.select("query_id", "page_rank", "people").join(asked, "query_id"))
+
+
+def robots_gate(s, d):
+    rows = s.createDataFrame([r[:4] for r in ROBOTS], "row_id int, rules string, status int, url string")
+    return rows.select("row_id", fetching.robots_allowed("lodestack")("rules", "status", "url").alias("allowed"))
+
+
 def _model(s, d):
     return records.coerce(table(s, d, "person_records").withColumn("pos", F.col("id"))).filter("url_id is not null")
 
@@ -91,6 +130,12 @@ def queries():
         "index_describe": lambda s, d: index.describe(_vectors(s, d)).select("type", "metric", "dim", "vectors", "persisted"),
         "index_integrity": lambda s, d: index.integrity(_vectors(s, d).select("chunk_id"), _vectors(s, d).filter("chunk_id <> 5")),
         "kb_search": kb_search,
+        # answers
+        "answer_context": lambda s, d: answers.build_context(answers.context_slots(results(s, d))),
+        "cited_sources": lambda s, d: answers.cited_sources(results(s, d).select("query_id", F.lit(ANSWER).alias("answer")).distinct(), answers.context_slots(results(s, d))),
+        "attach_people": lambda s, d: _with_people(s, d).select("query_id", "url_id", F.size("people").alias("n_people"), F.array_join(F.transform("people", lambda p: F.coalesce(p["name"], F.lit(""))), "|").alias("names")),
+        "rank_people": lambda s, d: _cards(s, d).select("query_id", "rank", "named", "name", "title"),
+        "robots_gate": robots_gate,
         # people
         "extract_people": lambda s, d: pf.extract_people(pages(s, d)).select("url_id", "rank", "name", "title", "company", "confidence", "evidence"),
         "best_per_name": lambda s, d: records.best_per_name(_t("extracted_people")(s, d).select("record_id", "url_id", "name", "title"), "url_id", "name", "title", "record_id").select("url_id", "record_id", "name", "title"),
@@ -103,6 +148,7 @@ def queries():
     }
 
 
+_RESULTS = "WITH r AS (SELECT batch_id AS query_id, id AS url_id, row_number() OVER (PARTITION BY batch_id ORDER BY id) AS n, coalesce(title, '') AS title, coalesce(url, '') AS url, coalesce(meta_description, '') AS t FROM harvested_urls WHERE batch_id IS NOT NULL QUALIFY n <= 8)"
 _NORM = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings"
 _SCORES = f"""WITH v AS ({_NORM}), s AS (
     SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, b.label, round(list_dot_product(a.e, b.e) / (a.n * b.n), 4) AS score FROM v a, v b WHERE {{where}}),
@@ -143,6 +189,16 @@ def oracle_sql():
         "search_log_once": "SELECT provider, count(*) AS n_queries, CAST(sum(result_count) AS BIGINT) AS n_results FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC) AS rn FROM search_queries) WHERE rn = 1 GROUP BY provider",
         "person_counts": "SELECT h.id, CAST(count(p.id) AS INTEGER) AS people FROM harvested_urls h LEFT JOIN person_records p ON p.url_id = h.id GROUP BY h.id",
         "batch_deleted": "SELECT id, url_id, CASE WHEN batch_id <> 1 THEN batch_id END AS batch_id FROM person_records WHERE url_id IS NULL OR url_id NOT IN (SELECT id FROM harvested_urls WHERE batch_id = 1)",
+        "answer_context": _RESULTS + " SELECT query_id, string_agg('[' || n || '] ' || title || chr(10) || 'URL: ' || url || chr(10) || t, chr(10) || chr(10) ORDER BY n) AS context FROM r WHERE n <= 6 GROUP BY query_id",
+        "cited_sources": _RESULTS + ", c AS (SELECT * FROM (VALUES (0, 2), (1, 1), (2, 90), (3, 3)) AS v(pos, cited)), f AS (SELECT r.query_id, c.pos, c.cited, r.url, r.title, row_number() OVER (PARTITION BY r.query_id, r.url ORDER BY c.pos) AS k FROM r JOIN c ON r.n = c.cited) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS INTEGER) AS source_rank, cited, url, title FROM f WHERE k = 1",
+        "attach_people": _RESULTS + " SELECT r.query_id, r.url_id, CAST(count(p.id) AS INTEGER) AS n_people, coalesce(string_agg(coalesce(p.name, ''), '|' ORDER BY coalesce(p.confidence, 0) DESC, p.id), '') AS names FROM r LEFT JOIN person_records p ON p.url_id = r.url_id AND r.n <= 3 GROUP BY r.query_id, r.url_id",
+        "rank_people": _RESULTS + """, e AS (SELECT r.query_id, r.n, p.name, p.title, row_number() OVER (PARTITION BY r.query_id, r.n ORDER BY coalesce(p.confidence, 0) DESC, p.id) AS pos FROM r JOIN person_records p ON p.url_id = r.url_id AND r.n <= 3),
+            o AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(coalesce(name, '')), lower(coalesce(title, '')) ORDER BY n, pos) AS k FROM e),
+            h AS (SELECT query_id, lower(trim(regexp_replace('Who is ' || title || chr(10), '\\s+', ' ', 'g'))) AS hay FROM r WHERE n = 1),
+            m AS (SELECT o.*, lower(trim(regexp_replace(coalesce(o.name, ''), '\\s+', ' ', 'g'))) AS low, h.hay FROM o JOIN h ON o.query_id = h.query_id WHERE k = 1),
+            g AS (SELECT *, contains(low, ' ') AND contains(hay, low) AS named FROM m), q AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY named DESC, n, pos) AS INTEGER) AS rank FROM g)
+            SELECT query_id, rank, named, name, title FROM q WHERE rank <= 12""",
+        "robots_gate": "SELECT * FROM (VALUES " + ", ".join(f"({r[0]}, {str(r[4]).lower()})" for r in ROBOTS) + ") AS v(row_id, allowed)",
         "vec_topk": _SCORES.format(where="a.vec_id = 0") + " SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10",
         "vec_topk_multi": _MULTI + f" SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= {K}",
         "vec_threshold_fallback": _MULTI + ", h AS (SELECT *, max(score) OVER (PARTITION BY query_id) >= 0.9 AS any_pass FROM r WHERE rank <= 32) SELECT query_id, chunk_id, score, rank, NOT any_pass AS low_confidence FROM h WHERE CASE WHEN any_pass THEN score >= 0.9 ELSE rank <= 8 END",
