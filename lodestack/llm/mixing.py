@@ -2,13 +2,14 @@
 
 Method: hierarchical budgeting. The token budget goes down a tree (source, then language) by weight; a
 node that cannot use its part, even with its records repeated as often as allowed, leaves the shortage
-to its siblings, and only what no sibling can take goes up to the node's ancestors. Each leaf then takes
+to its siblings, and only what no sibling can take goes up to the node's ancestors. Languages weigh their
+tokens to the power LANG_POWER, so a small one runs short and its siblings fill in, before its source does. Each leaf then takes
 whole seeded epochs of its records and a prefix, by tokens, of one more epoch.
 
 The total defaults to the largest at which no source that has documents falls short of its share. Sizes
 are tokens of a public tokenizer. Records without a source, or of a source without a weight, are not
-mixed; records without tokens add nothing and are left out. A prefix ends before the record that would
-exceed its budget. Null or negative weights count as 0, null repeats as 1.
+mixed; records without tokens add nothing and are left out. A prefix takes the record that
+crosses its budget if more than half of it lies within. Null or negative weights count as 0, null repeats as 1.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from lodestack.llm.tokens import DEFAULT_VOCAB, encode_corpus
 from lodestack.session import cut
 
 SEED = 17
+#: A language weighs its tokens to this power within its source, so that small languages are lifted and run short first.
+LANG_POWER = 0.7
 #: Ranges of the seeded order for which sums are kept; a leaf's cut falls into one of them.
 RANGES = 4096
 
@@ -68,7 +71,7 @@ def plan(leaves: list[tuple[str, str, int]], weights: dict[str, tuple[float, int
     for s, budget in zip(names, fill(total, share, rooms)):
         kids = sorted(tree[s])
         times = weights[s][1]
-        for (lang, n), b in zip(kids, fill(budget, [float(n) for _, n in kids], [float(times * n) for _, n in kids])):
+        for (lang, n), b in zip(kids, fill(budget, [float(n) ** LANG_POWER for _, n in kids], [float(times * n) for _, n in kids])):
             epochs = min(int(b // n), times)
             out.append((s, lang, epochs, 0 if epochs == times else int(b - epochs * n)))
     return out
@@ -97,7 +100,7 @@ def mixture(docs: DataFrame, weights: DataFrame, total: float | None = None, see
     rows = rows.join(F.broadcast(edge), ["source", "lang"], "left")
     inside = rows.filter("range = edge")
     run = F.sum("n_tokens").over(Window.partitionBy("source", "lang").orderBy("o", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    inside = inside.withColumn("copies", F.col("epochs") + (F.col("base") + run <= F.col("rest")).cast("int"))
+    inside = inside.withColumn("copies", F.col("epochs") + (F.col("base") + run - F.col("n_tokens") / 2 <= F.col("rest")).cast("int"))
     outside = rows.filter("edge is null or range <> edge").withColumn("copies", F.col("epochs") + F.expr("(edge is null or range < edge) and rest > 0").cast("int"))
     return outside.unionByName(inside).filter("copies > 0").select("doc_id", "source", "lang", "n_tokens", "copies")
 
