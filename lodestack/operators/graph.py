@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.session import cut
+from lodestack.session import cut_in_loop as cut
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

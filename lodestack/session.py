@@ -70,10 +70,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise and cut lineage in the shared checkpoint folder, which outlives any executor."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    done = df.checkpoint(eager=True)
-    # a checkpoint inherits its plan's size estimate, which joins multiply: in a loop its digits double each round
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def cut_in_loop(df: DataFrame) -> DataFrame:
+    """As cut, without the plan's size estimate, which joins multiply: in a loop its digits double each round."""
+    done, spark = cut(df), df.sparkSession
     try:
         return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
     except (AttributeError, TypeError):  # sessions without this JVM call keep the estimate
