@@ -128,7 +128,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, h = cut_points(codes, starts, ends, roller)
             row = np.searchsorted(ends, at, side="right")
             ids = np.asarray(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row]), pa.array((at - starts[row]).astype(np.int32))], names=["h", "doc_id", "pos"])
+            order = np.lexsort((h, row))
+            first = np.ones(len(h), dtype=bool)
+            first[order[1:]] = (np.diff(row[order]) != 0) | (h[order[1:]] != h[order[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row]), pa.array((at - starts[row]).astype(np.int32)), pa.array(first)], names=["h", "doc_id", "pos", "first"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], all_places: bool) -> Iterator[pa.RecordBatch]:
@@ -175,9 +178,11 @@ def copy_classes(docs: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, copies: DataFrame, all_places: bool) -> DataFrame:
     """Windows around runs that occur in more than one text class: k, doc_id (the class's rep), at, lf, rf."""
     texts = _texts(docs)
-    runs = texts.mapInArrow(_runs, "h long, doc_id long, pos int")
+    runs = texts.mapInArrow(_runs, "h long, doc_id long, pos int, first boolean")
+    # counting each text's runs once moves half of what their holders would
+    shared = runs.filter("first").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     again = lambda df: df.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h")
-    hits = runs.join(again(runs), "h").join(copies.filter("doc_id > rep").select("doc_id"), "doc_id", "left_anti")
+    hits = runs.drop("first").join(shared, "h").join(copies.filter("doc_id > rep").select("doc_id"), "doc_id", "left_anti")
     hits = cut(hits)
     hits = hits.join(again(hits), "h")
     places = hits.groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
