@@ -29,7 +29,7 @@ MIN_SPAN = 200
 RUN = 104
 CUT_WINDOW = MIN_SPAN - RUN + 1
 #: Windows of a repeated run are compared in steps of STEP characters, the rest by their flanks.
-STEP = 8
+STEP = 16
 WINDOW = MIN_SPAN - STEP + 1
 BLOCK_CHARS = 3_000_000
 
