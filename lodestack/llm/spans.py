@@ -243,7 +243,7 @@ def shared_intervals(docs: DataFrame) -> DataFrame:
     Linear in the number of repeated windows: no pairs are formed. The union of the spans is exact.
     """
     copies = cut(copy_classes(docs))
-    w = repeated_windows(docs, copies, True).repartition("k", "lf", "rf")
+    w = cut(repeated_windows(docs, copies, True))  # three consumers follow
     span = lambda lo, hi: F.struct((F.col("at") - hi).alias("at"), (F.col("at") - lo + MIN_SPAN).alias("to"))
     past = F.when(F.col("doc_id") > F.col("first"), span(F.greatest(F.lit(STEP - 1) - F.length("rf"), F.lit(0)), F.length("lf"))).when(F.col("past_lo").isNotNull(), span(F.col("past_lo"), F.col("past_hi")))
     held = w.join(_reach(w), ["k", "lf", "rf"]).select("doc_id", span(F.col("lo"), F.col("hi")).alias("span"), past.alias("past"))
