@@ -21,6 +21,7 @@ rows with one id are judged each by itself. Whole texts and whole HTML are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -255,9 +256,10 @@ def page_features(text: str, html: str | None, title: str | None, site: str | No
     lines = text.split("\n")
     plain = [" ".join(x.split()) for x in lines]
     keys = [_squash(p) for p in plain]
-    seen: dict[str, tuple[str, int, int, str, str]] = {}
-    for r in rendered_lines(html) if html else ():
-        seen.setdefault(_squash(r[0]), r)
+    rendered = rendered_lines(html) if html else []
+    seen: dict[str, list[int]] = {}
+    for j, r in enumerate(rendered):
+        seen.setdefault(_squash(r[0]), []).append(j)
     name = _squash(title or "")
     head = next((i for i, k in enumerate(keys) if k and k == name), None)
     if head is None:
@@ -269,11 +271,15 @@ def page_features(text: str, html: str | None, title: str | None, site: str | No
         message = [m or bool(_WAY_BACK.match(p)) for m, p in zip(message, plain)]
     start = head if head is not None else next((i for i, p in enumerate(plain) if message[i] or len(p) >= 45 and _SENTENCE.search(p)), len(plain))
     site = site or ""
-    out, met = [], set()
+    out, met, last = [], set(), -1
     for i, p in enumerate(plain):
         if not p:
             continue
-        _, tags, link, place, leaf = seen.get(keys[i]) or ("", 2, 0, "", "")
+        _, tags, link, place, leaf = "", 2, 0, "", ""
+        if at := seen.get(keys[i]):
+            # words that the page shows several times: the next place after the last line's
+            last = at[bisect_right(at, last) % len(at)]
+            _, tags, link, place, leaf = rendered[last]
         size = len(p)
         if link >= 0.8 * size:
             kind = LINK
