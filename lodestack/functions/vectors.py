@@ -50,8 +50,9 @@ def embed(text: Column, embedder: Embedder | None = None, batch: int = 256) -> C
 
     @F.arrow_udf("array<double>")
     def run(texts: pa.Array) -> pa.Array:
-        parts = [e(texts.slice(i, batch).to_pylist()) for i in range(0, len(texts), batch)]
-        m = np.concatenate(parts) if parts else np.zeros((0, e.dim))
+        m = np.zeros((len(texts), e.dim))
+        for i in range(0, len(texts), batch):
+            m[i : i + batch] = e(texts.slice(i, batch).to_pylist())
         offsets = np.arange(0, m.size + 1, e.dim, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(m.ravel()))
 

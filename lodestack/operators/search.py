@@ -14,25 +14,78 @@ from pyspark.sql.window import Window
 from lodestack.functions.vectors import Embedder, embed
 from lodestack.settings import DEFAULTS, Settings
 
-#: Queries that are sent to all tasks as they are; more meet the vectors by a shuffle, in blocks of this size against blocks of vectors.
+#: Queries that are sent to all tasks as they are; more meet the vectors by a shuffle, in blocks of four times this size against blocks of vectors.
 QUERY_BLOCK = 4096
-VECTOR_BLOCK = 50_000
+#: Questions and vectors that are scored at once, so a task holds one tile of scores however many it reads.
+QUERY_TILE, VECTOR_BLOCK = 2048, 1024
+#: Scores of a search are equal to so many digits where texts are, wherever in a tile they are summed up.
+SCORE_DIGITS = 12
+
+
+class RunningBest:
+    """The k best vectors of each of up to QUERY_TILE questions over all tiles it is shown, ties to the least id."""
+
+    def __init__(self, q: np.ndarray, k: int, round_to: int | None):
+        self.q, self.k, self.round_to = q, k, round_to
+        self.held = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.least, self.last = np.full(len(q), -np.inf), np.full(len(q), np.iinfo(np.int64).max)
+
+    def add(self, own: np.ndarray, m: np.ndarray) -> None:
+        """Shows a tile of vectors, their ids ascending."""
+        s = self.q @ m.T
+        if self.round_to is not None:
+            s = np.round(s, self.round_to, out=s)
+        if not len(self.held[0]) and s.shape[1] > self.k:
+            least = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k, None]
+            above, tied = s > least, s == least
+            rows, cols = np.nonzero(above | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= self.k - above.sum(axis=1, keepdims=True))))
+        else:
+            rows, cols = np.nonzero(s >= self.least[:, None])
+        ids, scores = own[cols], s[rows, cols]
+        near = (scores > self.least[rows]) | (ids < self.last[rows])
+        self.new.append((rows[near], ids[near], scores[near]))
+        if not len(self.held[0]) or sum(len(x[0]) for x in self.new) > len(self.q) * self.k:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(question's row, vector id, score) of the best so far."""
+        if self.new:
+            rows, ids, scores = (np.concatenate(c) for c in zip(self.held, *self.new))
+            order = np.lexsort((ids, -scores, rows))
+            rows, ids, scores = rows[order], ids[order], scores[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            keep, full = place < self.k, place == self.k - 1
+            self.least[rows[full]], self.last[rows[full]] = scores[full], ids[full]
+            self.held, self.new = (rows[keep], ids[keep], scores[keep]), []
+        return self.held
+
+
+class BestOfBlocks:
+    """(query row, vector id, score) of the k best vectors of all blocks for each query, ties to the least id, in no order."""
+
+    def __init__(self, q: np.ndarray, k: int, round_to: int | None):
+        self.parts = [RunningBest(q[i : i + QUERY_TILE], k, round_to) for i in range(0, len(q), QUERY_TILE)]
+
+    def add(self, own: np.ndarray, m: np.ndarray) -> None:
+        for i in range(0, len(own), VECTOR_BLOCK):
+            by_id = i + np.argsort(own[i : i + VECTOR_BLOCK], kind="stable")
+            ids, tile = own[by_id], m[by_id]
+            for part in self.parts:
+                part.add(ids, tile)
+
+    def found(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for n, part in enumerate(self.parts):
+            rows, ids, scores = part.merge()
+            yield rows + n * QUERY_TILE, ids, scores
 
 
 def best_of_block(q: np.ndarray, own: np.ndarray, m: np.ndarray, k: int, round_to: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector id, score) of the k best vectors of a block for each query, ties to the least id, in no order."""
-    by_id = np.argsort(own, kind="stable")
-    own, s = own[by_id], q @ m[by_id].T
-    if round_to is not None:
-        s = np.round(s, round_to)
-    if s.shape[1] > k:
-        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
-        above, tied = s > least, s == least
-        keep = above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(axis=1, keepdims=True)))
-    else:
-        keep = np.ones(s.shape, dtype=bool)
-    rows, cols = np.nonzero(keep)
-    return rows, own[cols], s[rows, cols]
+    """As BestOfBlocks for a single block."""
+    best = BestOfBlocks(q, k, round_to)
+    best.add(own, m)
+    rows, ids, scores = zip(*best.found())
+    return np.concatenate(rows), np.concatenate(ids), np.concatenate(scores)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
@@ -47,10 +100,11 @@ def _hits(ids: pa.Array, rows: np.ndarray, own: np.ndarray, scores: np.ndarray)
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, round_to: int | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank of the k best vectors of each query by inner product, ties to the least id.
 
-    Every vector is scored and read once: each block of vectors is multiplied with the queries and keeps only its
-    own k best per query, so what is shuffled is bounded by k per query and block. Up to QUERY_BLOCK queries go to
-    the vectors' tasks; more are dealt into blocks that meet blocks of vectors by key. With round_to, scores are
-    rounded before they are ranked. Null vectors score nothing.
+    Every vector is scored and read once: each task's vectors are multiplied with its queries, tile by tile,
+    and keeps only its own k best per query, so what is shuffled is bounded by k per query and task, and what a task
+    holds by its block of queries, one batch of vectors, one tile of scores and k per query. Up to QUERY_BLOCK queries
+    go to the vectors' tasks; more are dealt into blocks that meet blocks of vectors by key. With round_to, scores are rounded before they are
+    ranked. Null vectors score nothing.
     """
     kind = "string" if isinstance(queries.schema["query_id"].dataType, StringType) else "long"
     asked = queries.filter("embedding is not null").select(F.col("query_id").cast(kind).alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -61,24 +115,39 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, round_to: int | N
         ids, q = few.column(0).combine_chunks(), _matrix(few.column(1), few.num_rows) if few.num_rows else None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows and q is not None:
-                    yield _hits(ids, *best_of_block(q, np.asarray(b.column(0)), _matrix(b.column(1), b.num_rows), k, round_to))
+            if q is not None:
+                best = BestOfBlocks(q, k, round_to)
+                for b in batches:
+                    best.add(np.asarray(b.column(0)), _matrix(b.column(1), b.num_rows))
+                yield from (_hits(ids, *part) for part in best.found())
 
         found = base.mapInArrow(run, out)
     else:
-        n_q, n_v = -(-asked.count() // QUERY_BLOCK), max(1, -(-base.count() // VECTOR_BLOCK))
+        n_q = -(-asked.count() // (4 * QUERY_BLOCK))
+        n_v = -(-int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_q)
         numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = base.withColumn("v", F.pmod(F.xxhash64("chunk_id"), F.lit(n_v))).withColumn("b", numbers(n_q))
-        right = asked.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("v", numbers(n_v))
-
-        def meet(v: pa.Table, a: pa.Table) -> pa.Table:
-            if not v.num_rows or not a.num_rows:
-                return pa.table({"query_id": pa.array([], pa.string() if kind == "string" else pa.int64()), "chunk_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-            got = best_of_block(_matrix(a.column("embedding"), a.num_rows), np.asarray(v.column("chunk_id")), _matrix(v.column("embedding"), v.num_rows), k, round_to)
-            return pa.Table.from_batches([_hits(a.column("query_id").combine_chunks(), *got)])
-
-        found = left.groupBy("v", "b").cogroup(right.groupBy("v", "b")).applyInArrow(meet, out)
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        left = base.select(none(kind, "query_id"), "chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id"), F.lit(n_v)).alias("v"), numbers(n_q).alias("b"))
+        right = asked.select("query_id", none("long", "chunk_id"), "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("b"), numbers(n_v).alias("v"))
+        # one task for each pair of blocks: it holds the questions, which come first, and reads the vectors in batches
+        met = left.unionByName(right).withColumn("pair", (F.col("v") * n_q + F.col("b")).cast("int")).repartitionById(n_q * n_v, F.col("pair")).sortWithinPartitions(F.col("chunk_id").isNotNull())
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asking, best, ids = [], None, None
+            for b in batches:
+                n = b.column(1).null_count
+                if n:
+                    head = b.slice(0, n)
+                    asking.append((head.column(0), _matrix(head.column(2), n)))
+                if n < b.num_rows and asking:
+                    if best is None:
+                        ids, best = pa.concat_arrays([x for x, _ in asking]), BestOfBlocks(np.concatenate([x for _, x in asking]), k, round_to)
+                    tail = b.slice(n)
+                    best.add(np.asarray(tail.column(1)), _matrix(tail.column(2), tail.num_rows))
+            if best is not None:
+                yield from (_hits(ids, *part) for part in best.found())
+
+        found = met.select("query_id", "chunk_id", "embedding").mapInArrow(meet, out)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= max(1, k))
 
@@ -133,12 +202,13 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, pages: Dat
     """Ranked pages for each question (query_id, query): score, best chunks, relevance, people, note.
 
     An empty question gives one row with the note `empty query` and no page; so does an empty index.
-    Pages harvested in several batches count once, by normalised URL. Chunk ids without a chunk vanish.
+    Pages harvested in several batches count once, by normalised URL. Chunk ids without a chunk vanish. Chunks without
+    a text column give the numbers of the best chunks alone, and no text is moved.
     """
     asked = queries.select("query_id", F.trim(F.coalesce("query", F.lit(""))).alias("query"))
     q = asked.filter("query <> ''").select("query_id", embed(F.col("query"), embedder).alias("embedding"))
-    hits = threshold_or_best(exact_topk(vectors, q, s.search_top_k * s.overfetch), s)
-    named = chunks.select("chunk_id", "url_id", F.struct("heading", "text").alias("payload"))
+    hits = threshold_or_best(exact_topk(vectors, q, s.search_top_k * s.overfetch, SCORE_DIGITS), s)
+    named = chunks.select("chunk_id", "url_id", *([F.struct("heading", "text").alias("payload")] if "text" in chunks.columns else []))
     info = pages.select(F.col("id").alias("url_id"), F.coalesce(F.nullif("normalized_url", F.lit("")), F.col("url")).alias("page_key"), F.col("url"), F.coalesce(F.nullif("title", F.lit("")), F.col("url")).alias("title"))
     placed = hits.join(named, "chunk_id").join(info, "url_id")
     where = placed.select("query_id", "page_key", "chunk_id", "url_id", "url", F.col("title"))

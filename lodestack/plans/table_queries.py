@@ -53,7 +53,7 @@ def kb_search(s, d):
     chunks, vectors = knowledge_base(s, d)
     asked = questions(s, d).groupBy("query").agg(F.min("query_id").alias("query_id")).select("query_id", "query")
     pages = table(s, d, "harvested_urls").select("id", "normalized_url", "url", "title")
-    r = search.search(asked, chunks, vectors, pages)
+    r = search.search(asked, chunks.select("chunk_id", "url_id"), vectors, pages)
     return r.select("query_id", "query", "page_key", "page_rank", "score", "chunk_id", "url_id", "url", "title", "relevant", "note")
 
 

@@ -297,3 +297,25 @@ def test_topk_in_blocks_equals_brute_force(spark, monkeypatch):
         monkeypatch.setattr(search, "VECTOR_BLOCK", 70)
         assert {tuple(r) for r in search.exact_topk(vectors, queries, 7).collect()} == want
         assert search.exact_topk(vectors, queries.limit(0), 7).count() == 0 and search.exact_topk(vectors.limit(0), queries, 7).count() == 0
+
+
+@pytest.mark.parametrize("n", [5, 1024, 6000])
+def test_topk_holds_one_tile_of_scores(n):
+    """However many questions and vectors a block has, its scores are held tile by tile; ties go to the least id across tiles."""
+    import tracemalloc
+
+    import numpy as np
+
+    from lodestack.operators import search
+
+    rng = np.random.default_rng(8)
+    m, q, own = rng.integers(-2, 3, (n, 4)).astype(float), rng.integers(-2, 3, (3000, 4)).astype(float), rng.permutation(n)
+    q[:50] = 0
+    tracemalloc.start()
+    rows, ids, scores = search.best_of_block(q, own, m, 7, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6 and len(rows) == 3000 * min(n, 7)
+    for i in [0, 49, 50, 2047, 2048, 2999]:
+        want = sorted(zip(-(m @ q[i]), own))[:7]
+        assert sorted(zip(-scores[rows == i], ids[rows == i])) == want
