@@ -319,3 +319,17 @@ def test_topk_holds_one_tile_of_scores(n):
     for i in [0, 49, 50, 2047, 2048, 2999]:
         want = sorted(zip(-(m @ q[i]), own))[:7]
         assert sorted(zip(-scores[rows == i], ids[rows == i])) == want
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    """Few edges are one task's work, more take rounds; both give the least node of each component."""
+    import random
+
+    from lodestack.operators import graph
+
+    rnd = random.Random(4)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(rnd.randrange(-40, 40), rnd.randrange(-40, 40)) for _ in range(30)] + [(7, 7), (None, 3)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one = {tuple(r) for r in graph.connected_components(df).collect()}
+    monkeypatch.setattr(graph, "ONE_TASK", 3)
+    assert one == {tuple(r) for r in graph.connected_components(df).collect()} and (160, 100) in one
