@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.urls import domain_of
 from lodestack.operators.graph import connected_components
+from lodestack.session import cut
 
 MIN_PAGES = 5
 #: Occurrences are spread over this many salts, so that no line of a huge site is one task's work.
@@ -56,28 +57,31 @@ def _exact(pages: DataFrame, min_pages: int) -> DataFrame:
     return lines.groupBy("h", "g").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= min_pages)
 
 
+def _block_of_lines(occ: DataFrame, min_pages: int) -> DataFrame:
+    """h, block (number) of each node of enough support: components over the edges of enough support; a node without such an edge is a block of one."""
+    # consecutive kept lines of a page; blank or letterless lines between them do not part a block
+    nxt = occ.groupBy("id", "site").agg(F.array_sort(F.collect_list(F.struct("line_no", "h"))).alias("l"))
+    pairs = nxt.select("id", "site", F.explode(F.array_distinct(F.expr("transform(filter(sequence(1, size(l)), i -> i < size(l) and l[i].line_no - l[i-1].line_no <= 2 and l[i].h <> l[i-1].h), i -> struct(least(l[i].h, l[i-1].h) as a, greatest(l[i].h, l[i-1].h) as b))"))).alias("e"))
+    edges = pairs.groupBy("e.a", "e.b").agg(F.count(F.lit(1)).alias("w")).filter(F.col("w") >= min_pages)
+    comp = connected_components(edges)
+    known = occ.select("h").distinct()
+    return known.join(comp, known.h == comp.node, "left").select("h", F.coalesce("component", "h").alias("block"))
+
+
 def repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, line_no (and what `keep` names) of every occurrence of a repeated line."""
-    support = _exact(pages, min_pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """id, line_no (and what `keep` names) of every occurrence of a line of the sites' blocks."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     lines = _coded(page_lines(pages)).withColumn("salt", F.pmod(F.col("id"), F.lit(SALTS)).cast("int"))
-    return lines.join(support, ["h", "g", "salt"]).select("id", "line_no", *keep).distinct()
+    held = dict.fromkeys(["id", "site", "line_no", "h", "salt", *(c for c in keep if c != "block")])
+    occ = cut(lines.join(_exact(pages, min_pages).withColumn("salt", salts), ["h", "g", "salt"]).select(*held).distinct())
+    return occ.join(_block_of_lines(occ, min_pages).withColumn("salt", salts), ["h", "salt"]).select("id", "line_no", *keep)
 
 
 def line_blocks(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """site, block (number), n_lines, support (of its best line), lines: the boilerplate blocks of each site."""
-    occ = repeated_lines(pages, min_pages, ("site", "key", "h", "support"))
-    # consecutive kept lines of a page; blank or letterless lines between them do not part a block
-    nxt = occ.groupBy("id", "site").agg(F.array_sort(F.collect_list(F.struct("line_no", "h"))).alias("l"))
-    pairs = nxt.select("id", "site", F.explode(F.array_distinct(F.expr("transform(filter(sequence(1, size(l)), i -> i < size(l) and l[i].line_no - l[i-1].line_no <= 2 and l[i].h <> l[i-1].h), i -> struct(least(l[i].h, l[i-1].h) as a, greatest(l[i].h, l[i-1].h) as b))"))).alias("e"))
-    edges = pairs.groupBy("e.a", "e.b").agg(F.count(F.lit(1)).alias("w")).filter(F.col("w") >= min_pages)
-    comp = connected_components(edges)
-    known = occ.groupBy("h").agg(F.first("site").alias("site"), F.first("key").alias("key"), F.max("support").alias("support"))
-    return (
-        known.join(comp, known.h == comp.node, "left")
-        .withColumn("block", F.coalesce("component", "h"))
-        .groupBy("site", "block")
-        .agg(F.count(F.lit(1)).alias("n_lines"), F.max("support").alias("support"), F.sort_array(F.collect_list("key")).alias("lines"))
-    )
+    occ = repeated_lines(pages, min_pages, ("site", "key", "h", "support", "block"))
+    known = occ.groupBy("h").agg(F.first("site").alias("site"), F.first("key").alias("key"), F.max("support").alias("support"), F.first("block").alias("block"))
+    return known.groupBy("site", "block").agg(F.count(F.lit(1)).alias("n_lines"), F.max("support").alias("support"), F.sort_array(F.collect_list("key")).alias("lines"))
 
 
 def without_repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:

@@ -52,3 +52,11 @@ def test_clean_and_blocks(spark):
     assert s.without_repeated_lines(spark.createDataFrame([(1, "https://a/x", None, None, None, None, None)], PAGES)).first().clean_text is None
     empty = spark.createDataFrame([], PAGES)
     assert s.repeated_lines(empty).count() == 0 and s.line_blocks(empty).count() == 0
+
+
+def test_occurrences_are_deleted_by_block(spark):
+    """Each deleted line is one of a block: neighbours on enough pages share it, a line beside too few stands alone."""
+    data = [(i, "https://a.example/x", None, f"Body {'abcdefgh'[i]}\nImprint\nPrivacy\nMiddle {'abcdefgh'[i]}\n\n7\nLone line", None, None, None) for i in range(8)]
+    got = {(r.id, r.line_no): r.block for r in s.repeated_lines(spark.createDataFrame(data, PAGES), keep=("block",)).collect()}
+    assert set(got) == brute(data) == {(i, n) for i in range(8) for n in (2, 3, 7)}
+    assert len({got[i, n] for i in range(8) for n in (2, 3)}) == 1 and len({got[i, 7] for i in range(8)}) == 1 and got[0, 7] != got[0, 2]
